@@ -35,8 +35,8 @@ ABBREVIATIONS = {
     "aedt": 660, "nzst": 720, "nzdt": 780, "est": -300, "edt": -240, "cdt": -300, "mst": -420, "mdt": -360,
     "pst": -480, "pdt": -420, "akst": -540, "akdt": -480, "hst": -600, "brt": -180, "art": -180,
 }
-#: Month names by their first three letters.
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+#: Stands for letters that are no zone.
+NO_ZONE = 1 << 20
 FIRST_YEAR, LAST_YEAR = 1970, 2069
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -109,36 +109,28 @@ def _clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s​﻿]+", " "))
 
 
-_ZONE = r"(z|[a-z]{2,5}|(?:utc|gmt)? ?[+-]\d{1,2}(?::?\d{2})?)?(?: ?\(([a-z]{2,5})\))? ?(?:\[([a-z0-9_+\-/]+)\])?"
+_ZONE = r"([a-z]{1,5})? ?(?:([+-]\d{1,2})(?::?(\d{2}))?)?(?: ?\([a-z]{2,5}\))? ?(?:\[([a-z0-9_+\-/]+)\])?"
 _HALF = r"(凌晨|清晨|早上|早晨|上午|中午|下午|傍晚|晚上|晚间|am|pm)?"
 _TIME = _HALF + r" ?(\d{1,2}) ?[:时点] ?(\d{1,2})(?: ?[:分] ?(\d{1,2}))?(?:(?<=\d)[.,](\d+))?(?:分|秒)?,? ?(am|pm|a\.m\.|p\.m\.)?"
-# every pattern is replaced by: year | month | day | half | h | m | s | fraction | half | zone | zone name | name
+# a value becomes: wall time | fraction | half of the day | letters of the zone | hours | minutes | IANA name
+_REST = "|$8|$4$9|$10|$11|$12|$13"
 _SHAPES = [
-    (r"^(?:北京时间:? ?)?(\d{4})[-/.年] ?(\d{1,2})[-/.月] ?(\d{1,2})日?[t,]? ?" + _TIME + " ?" + _ZONE + r"(?: ?北京时间)?$", "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
-    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})[t,]? ?" + _TIME + " ?" + _ZONE + "$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
-    (r"^(?:[a-z]{3,9},? )?([a-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4}),? (?:at )?" + _TIME + " ?" + _ZONE + "$", "$3|$1|$2|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
-    (r"^(?:[a-z]{3,9},? )?(\d{1,2})[ -]([a-z]{3,9})\.?[ -](\d{4}),? (?:at )?" + _TIME + " ?" + _ZONE + "$", "$3|$2|$1|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
-    (r"^(\d{4})(\d{2})(\d{2})[t ]?()(\d{2}):?(\d{2}):?(\d{2})?(?:[.,](\d+))?() ?" + _ZONE + "$", "$1|$2|$3|$4|$5|$6|$7|$8|$9|$10|$11|$12"),
+    (r"^(?:北京时间:? ?)?(\d{4})[-/.年] ?(\d{1,2})[-/.月] ?(\d{1,2})日?[t,]? ?" + _TIME + " ?" + _ZONE + r"(?: ?北京时间)?$", "$1-$2-$3 $5:$6:$7" + _REST),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})[t,]? ?" + _TIME + " ?" + _ZONE + "$", "$3-$2-$1 $5:$6:$7" + _REST),
+    (r"^(?:[a-z]{3,9},? )?([a-z]{3})[a-z]{0,6}\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4}),? (?:at )?" + _TIME + " ?" + _ZONE + "$", "$3-$1-$2 $5:$6:$7" + _REST),
+    (r"^(?:[a-z]{3,9},? )?(\d{1,2})[ -]([a-z]{3})[a-z]{0,6}\.?[ -](\d{4}),? (?:at )?" + _TIME + " ?" + _ZONE + "$", "$3-$2-$1 $5:$6:$7" + _REST),
+    (r"^(\d{4})(\d{2})(\d{2})[t ]?()(\d{2}):?(\d{2}):?(\d{2})?(?:[.,](\d+))?() ?" + _ZONE + "$", "$1-$2-$3 $5:$6:$7" + _REST),
 ]
 _COUNT = r"^(?:\d{9,11}|\d{13}|\d{15,16}|\d{18,19})(?:\.\d+)?$"
 
 
-def parsed(value: Column) -> Column:
-    """array of 12 strings, or null: the fields of _SHAPES."""
-    v = value
+def parsed(v: Column) -> Column:
+    """The seven fields above in one string, or null."""
     out = F.lit(None).cast("string")
     for shape, order in reversed(_SHAPES):
         out = F.when(v.rlike(shape), F.regexp_replace(v, shape, order)).otherwise(out)
-    return F.split(out, r"\|")
-
-
-def _days(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970 of a proleptic Gregorian date, by arithmetic only."""
-    yy = F.when(m <= 2, y - 1).otherwise(y)
-    era = F.floor(yy / 400)
-    yoe = yy - era * 400
-    doy = F.floor((153 * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    return era * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy - 719468
+    # a count keeps its place: whole part and fraction
+    return F.when(v.rlike(_COUNT), F.concat(F.lit("#"), v)).otherwise(out)
 
 
 def instants(df: DataFrame, value: str, owner_zone: str, zones: DataFrame) -> DataFrame:
@@ -146,89 +138,50 @@ def instants(df: DataFrame, value: str, owner_zone: str, zones: DataFrame) -> Da
 
     ``owner_zone`` is the column of the IANA name that holds where a value
     names no zone; ``zones`` has all such names in its column zone. Zones named
-    in values are found by a light scan for brackets.
+    in values are found by a light scan for brackets. The projections are kept
+    small on purpose: one large generated method would not be compiled.
     """
     inside = df.where(F.col(value).contains("[") | F.col(value).contains("［"))
     inside = inside.select(F.regexp_extract(F.lower(_clean(F.col(value))), r"\[([a-z0-9_+\-/]+)\]", 1).alias("zone"))
     every = zones.select(F.lower("zone").alias("zone")).unionAll(inside)
     every = every.unionAll(df.sparkSession.range(1).select(F.lit("asia/shanghai").alias("zone")))
-    raw = F.lower(_clean(F.col(value)))
-    d = df.withColumn("__v", raw).withColumn("__z", F.col(owner_zone))
-    d = d.withColumn("__count", F.col("__v").rlike(_COUNT)).withColumn("__p", F.when(~F.col("__count"), parsed(F.col("__v"))))
-    d = d.where(F.col("__count") | F.col("__p").isNotNull())
-    num = lambda i: F.expr(f"try_cast(nullif(__p[{i}], '') as bigint)")
-    month = F.coalesce(num(1), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.left(F.col("__p")[1], F.lit(3))), F.lit(0)))
-    half = F.concat_ws("", F.col("__p")[3], F.col("__p")[8])
-    d = d.withColumns({"__y": num(0), "__mo": month, "__d": num(2), "__h": num(4), "__mi": num(5), "__s": F.coalesce(num(6), F.lit(0))})
-    h = F.col("__h")
-    late = half.isin("下午", "傍晚", "晚上", "晚间", "pm", "p.m.")
-    early = half.isin("凌晨", "清晨", "早上", "早晨", "上午", "am", "a.m.")
-    h24 = (
-        F.when((half == "") , h)
-        .when(late & (h < 12), h + 12)
-        .when(early & (h == 12), 0)
-        .when((half == "中午") & (h < 3), F.when(h == 0, 12).otherwise(h + 12))
-        .otherwise(h)
-    )
-    clock12 = half.isin("am", "pm", "a.m.", "p.m.")
-    y, mo, dd = F.col("__y"), F.col("__mo"), F.col("__d")
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    month_days = F.when(mo.isin(4, 6, 9, 11), 30).when(mo == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    valid = (
-        y.between(1, 9999) & mo.between(1, 12) & (dd >= 1) & (dd <= month_days) & h.between(0, 23)
-        & F.col("__mi").between(0, 59) & F.col("__s").between(0, 59) & (~clock12 | h.between(0, 12))
-    )
-    us = F.rpad(F.substring(F.coalesce(F.col("__p")[7], F.lit("")), 1, 6), 6, "0").cast("bigint")
+    spans = interval_table(every).select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
+
+    d = df.withColumn("__v", F.lower(_clean(F.col(value))))
+    d = d.withColumn("__p", F.split(parsed(F.col("__v")), r"\|"))
+    part = lambda i: F.get(F.col("__p"), F.lit(i))
+    wall = lambda fmt: F.unix_seconds(F.try_to_timestamp(F.concat(part(0), F.lit(" Z")), F.lit(fmt)))
     d = d.withColumns({
-        "__local": F.when(valid, _days(y, mo, dd) * 86400 + h24 * 3600 + F.col("__mi") * 60 + F.col("__s")).cast("bigint"),
-        "__us": F.when(valid, us),
+        "__wall": F.coalesce(wall("y-M-d H:m:[s] X"), wall("y-MMM-d H:m:[s] X")),
+        "__us": F.rpad(F.substring(part(1), 1, 6), 6, "0").cast("bigint"),
     })
-    # the zone: a fixed offset in minutes, or an IANA name
-    z = F.regexp_replace(F.coalesce(F.col("__p")[9], F.lit("")), " ", "")
-    off = F.regexp_replace(z, "^(utc|gmt)", "")
-    sign = F.when(F.left(off, F.lit(1)) == "-", -1).otherwise(1)
-    digits = F.regexp_replace(off, r"[^0-9]", "")
-    n = F.length(digits)
-    hours = F.when(n <= 2, digits).when(n == 3, F.substring(digits, 1, 1)).otherwise(F.substring(digits, 1, 2))
-    minutes = F.when(n <= 2, F.lit("0")).when(n == 3, F.substring(digits, 2, 2)).otherwise(F.substring(digits, 3, 2))
+    h, half = F.pmod(F.expr("__wall div 3600"), F.lit(24)), part(2)
+    clock12 = half.isin("am", "pm", "a.m.", "p.m.")
+    late, early = half.isin("下午", "傍晚", "晚上", "晚间", "pm", "p.m."), half.isin("凌晨", "清晨", "早上", "早晨", "上午", "am", "a.m.")
+    shift = F.when(half == "", 0).when(clock12 & (h > 12), None).when(late & (h < 12), 12).when(early & (h == 12), -12).when((half == "中午") & (h < 3), 12).otherwise(0)
     known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    fixed = (
-        F.when(off.rlike("^[+-]"), sign * (F.expr("1") * hours.try_cast("int") * 60 + minutes.try_cast("int")))
-        .when(z != "", F.element_at(known, z))
-        .when(F.col("__p")[10] != "", F.element_at(known, F.col("__p")[10]))
-    )
-    beijing = F.col("__v").contains("北京时间")
-    named = F.nullif(F.col("__p")[11], F.lit(""))
+    minutes = F.concat(F.left(part(4), F.lit(1)), part(5)).try_cast("int")
+    named = F.when(part(6) != "", part(6)).when(F.col("__v").contains("北京时间"), "asia/shanghai").otherwise(F.lower(owner_zone))
     d = d.withColumns({
-        "__fixed": fixed,
-        "__bad": (F.coalesce(z, F.lit("")) != "") & fixed.isNull(),
-        "__zone": F.lower(F.when(named.isNotNull(), named).when(beijing, F.lit("asia/shanghai")).otherwise(F.col("__z"))),
-        "__year": F.when(F.col("__local").isNotNull(), y).cast("int"),
+        "__local": F.col("__wall") + shift * 3600,
+        "__fixed": F.when(part(4) != "", part(4).try_cast("int") * 60 + F.coalesce(minutes, F.lit(0))).when(part(3) != "", F.coalesce(F.element_at(known, part(3)), F.lit(NO_ZONE))),
+        "__zone": named,
+        "__year": F.year(F.timestamp_seconds("__wall")),
     })
-    spans = interval_table(every).select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
     d = d.join(F.broadcast(spans), ["__zone", "__year"], "left")
-    local = F.col("__local")
-    hits = F.expr("filter(__spans, x -> __local >= x.a and __local < x.b)")
-    before = F.expr("filter(__spans, x -> x.b <= __local)")
-    offset = (
-        F.when(F.col("__fixed").isNotNull(), F.col("__fixed").cast("bigint") * 60)
-        .when(F.size(hits) > 0, F.array_max(F.transform(hits, lambda x: x["off"])))
-        .when(F.size(before) > 0, F.array_max(F.transform(before, lambda x: F.struct(x["b"], x["off"])))["off"])
-    )
-    whole = F.regexp_extract("__v", r"^(\d+)", 1)
-    frac = F.rpad(F.substring(F.regexp_extract("__v", r"\.(\d+)$", 1), 1, 6), 6, "0")
-    k = whole.try_cast("bigint")
-    digits_n = F.length(whole)
-    fr = frac.cast("bigint")
-    counted = (
-        F.when(digits_n <= 11, k * 1_000_000 + fr)
-        .when(digits_n == 13, k * 1000 + F.floor(fr / 1000).cast("bigint"))
-        .when(digits_n <= 16, k)
-        .otherwise(F.expr("1") * F.floor(k / 1000).cast("bigint"))
-    )
-    wall = F.when(~F.col("__bad") & offset.isNotNull(), (local - offset) * 1_000_000 + F.col("__us"))
-    d = d.withColumn("epoch_us", F.when(F.col("__count"), counted).otherwise(wall))
-    return d.where("epoch_us is not null").select(*df.columns, "epoch_us")
+    d = d.withColumn("__offset", F.when(F.col("__fixed").isNotNull(), F.col("__fixed") * 60).otherwise(F.coalesce(
+        # the earlier of two instants has the larger offset; in a gap the last interval that ended holds
+        F.expr("array_max(transform(filter(__spans, x -> __local >= x.a and __local < x.b), x -> x.off))"),
+        F.expr("array_max(transform(filter(__spans, x -> x.b <= __local), x -> struct(x.b, x.off))).off"),
+    )))
+    k = F.split_part(F.substring(part(0), 2, 40), F.lit("."), F.lit(1))
+    fr = F.rpad(F.substring(F.split_part(F.substring(part(0), 2, 40), F.lit("."), F.lit(2)), 1, 6), 6, "0").try_cast("bigint")
+    n, n_digits = k.try_cast("bigint"), F.length(k)
+    counted = F.when(n_digits <= 11, n * 1_000_000 + fr).when(n_digits == 13, n * 1000 + F.floor(fr / 1000)).when(n_digits <= 16, n).otherwise(F.floor(n / 1000))
+    at = F.when(F.left(part(0), F.lit(1)) == "#", counted).when(
+        F.coalesce(F.col("__fixed"), F.lit(0)) != NO_ZONE, (F.col("__local") - F.col("__offset")) * 1_000_000 + F.col("__us"))
+    d = d.select(*df.columns, at.cast("bigint").alias("epoch_us"))
+    return d.where("epoch_us is not null")
 
 
 def owned(df: DataFrame, src: str, key: str, value: str, owner: str | None, zones: DataFrame) -> DataFrame:
