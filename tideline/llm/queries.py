@@ -4,17 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import nearest
+from tideline.llm import boilerplate, leakage, nearest, overlaps
 from tideline.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.excessive_lines(table(spark, d, "citations"))
+
+
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.cleaned(table(spark, d, "citations"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest.news_to_bars(table(spark, d, "news_items"), table(spark, d, "prices_m1"))
 
 
-QUERIES = {"p4_found": p4_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.pairs(table(spark, d, "bert_finetune_cls"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.report(table(spark, d, "bert_finetune_cls"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), report=True)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p7_found, p7_report)}
+
+_LINES = r"""
+ c AS (SELECT citation_id, split_part(lower(source_file), '/', 1) AS house, lower(source_file) AS file, text
+       FROM citations WHERE trim(source_file) <> ''),
+ l AS (SELECT citation_id, house, file, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM c WHERE text <> ''),
+ t AS (SELECT *, regexp_replace(trim(regexp_replace(lower(line), '[\s\p{Z}\x{85}\x{0b}]+', ' ', 'g')), '[0-9]+', '0', 'g') AS tpl FROM l),
+ h AS (SELECT house, count(DISTINCT file) AS files FROM c GROUP BY house),
+ e AS (SELECT house, tpl FROM t JOIN h USING (house) WHERE tpl <> '' GROUP BY house, tpl, files
+       HAVING count(DISTINCT file) >= 5 AND count(DISTINCT file) * 100 >= 8 * files),
+ f AS (SELECT citation_id, CAST(line_no AS INTEGER) AS line_no FROM t JOIN e USING (house, tpl))"""
 
 SQL = {
+    "p3_found": f"WITH {_LINES} SELECT * FROM f",
+    "p3_cleaned": f"""
+WITH {_LINES},
+ g AS (SELECT citation_id, list(line_no) AS gone FROM f GROUP BY citation_id)
+SELECT citation_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+FROM citations LEFT JOIN g USING (citation_id)""",
     "p4_found": """
 WITH n AS (SELECT news_id, ticker, ts - INTERVAL 8 HOUR AS t FROM news_items WHERE ts IS NOT NULL AND ticker IS NOT NULL),
  b AS (SELECT ticker, ts_utc AS t, min(bar_id) AS bar_id FROM prices_m1
