@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import boilerplate, leakage, nearest, overlaps
+from tideline.llm import boilerplate, leakage, nearest, overlaps, tokens
 from tideline.session import table
 
 
@@ -28,6 +28,14 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.report(table(spark, d, "bert_finetune_cls"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decoded(tokens.encoded(table(spark, d, "documents")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -36,7 +44,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p6_ids, p6_decoded, p7_found, p7_report)}
 
 _LINES = r"""
  c AS (SELECT citation_id, split_part(lower(source_file), '/', 1) AS house, lower(source_file) AS file, text
@@ -55,6 +63,7 @@ WITH {_LINES},
  g AS (SELECT citation_id, list(line_no) AS gone FROM f GROUP BY citation_id)
 SELECT citation_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
 FROM citations LEFT JOIN g USING (citation_id)""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_found": """
 WITH n AS (SELECT news_id, ticker, ts - INTERVAL 8 HOUR AS t FROM news_items WHERE ts IS NOT NULL AND ticker IS NOT NULL),
  b AS (SELECT ticker, ts_utc AS t, min(bar_id) AS bar_id FROM prices_m1
