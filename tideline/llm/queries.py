@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import boilerplate, leakage, nearest, overlaps, tokens
+from tideline.llm import boilerplate, identifiers, leakage, nearest, overlaps, tokens
 from tideline.session import table
 
 
@@ -44,7 +44,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p6_ids, p6_decoded, p7_found, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return identifiers.found(table(spark, d, "documents"), table(spark, d, "name_list"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return identifiers.redacted(docs, identifiers.found(docs, table(spark, d, "name_list")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_redacted)}
 
 _LINES = r"""
  c AS (SELECT citation_id, split_part(lower(source_file), '/', 1) AS house, lower(source_file) AS file, text
