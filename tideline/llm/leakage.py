@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def _batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 def _parts(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text, so that long texts do not meet in memory."""
-    size = np.cumsum(pa.compute.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < b.num_rows:
         base = size[at - 1] if at else 0
