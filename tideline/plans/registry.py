@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import general
+from tideline.plans import corpus, events, general, streams
 
-_MODULES = [general]
+_MODULES = [general, events, corpus, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return general.p1_found(spark, d)
+    return events.flagship(spark, d)
