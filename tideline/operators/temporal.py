@@ -31,10 +31,12 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str
     The whole row is taken: a null in it is not passed over for an older value.
     Rows of one block meet in a window; what a block's start needs from before
     is the last row of an earlier block, found among one row a block. Left rows
-    without entity or time, or before the first right row, get nulls.
+    without entity or time, or before the first right row, get nulls. A column
+    of the same name on the left keeps it; the taken one becomes asof_NAME.
     """
     block = lambda c: F.floor(seconds(F.col(c)) / block_seconds).cast("bigint")
-    row = F.struct(F.col(right_ts).alias("asof_ts"), *take)
+    named = [F.col(c).alias(f"asof_{c}" if c in left.columns else c) for c in take]
+    row = F.struct(F.col(right_ts).alias("asof_ts"), *named)
     r = right.where(F.col(by).isNotNull() & F.col(right_ts).isNotNull()).select(
         F.col(by).alias("__by"), block(right_ts).alias("__block"), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), row.alias("__r"))
     lcols = F.struct(*left.columns)
@@ -65,6 +67,7 @@ def interval_agg(
     t = seconds(F.col(left_ts))
     lf = left.where(F.col(by).isNotNull() & F.col(left_ts).isNotNull()).select(
         F.col(key), F.col(by).alias("__by"), t.alias("__t"), F.explode(F.sequence(bucket(t + start), bucket(t + end))).alias("__bucket"))
+    right = right.select(*[c for c in right.columns if c != key])
     r = right.where(F.col(right_ts).isNotNull()).withColumn("__s", seconds(F.col(right_ts))).withColumn("__bucket", bucket(F.col("__s"))).withColumnRenamed(by, "__by")
     j = lf.join(r, ["__by", "__bucket"]).where((F.col("__s") >= F.col("__t") + start) & (F.col("__s") <= F.col("__t") + end))
     return j.groupBy(key).agg(*aggs)
