@@ -386,7 +386,7 @@ def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     good = scored(proposed).where(F.col("score") >= F.when(F.col("pattern").startswith("c"), ACCEPT_CAPITALS).otherwise(ACCEPT)).select("pattern")
     open_ = proposed.where("not sure")
     by_pattern = open_.select("doc_id", "kind", "value", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
-    by_seed = open_.where("seed and kind = 'name'")
+    by_seed = open_.where("seed")
     out = proposed.where("sure").select("doc_id", "kind", "value").unionAll(by_pattern.select("doc_id", "kind", "value")).unionAll(by_seed.select("doc_id", "kind", "value"))
     return out.distinct().withColumnRenamed("value", "found_value")
 
