@@ -28,6 +28,10 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.report(table(spark, d, "bert_finetune_cls"))
 
 
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.near_texts(table(spark, d, "bert_finetune_cls"), coverage=True)[0]
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -53,7 +57,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return identifiers.redacted(docs, identifiers.found(docs, table(spark, d, "name_list")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p5_coverage, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_redacted)}
 
 _LINES = r"""
  c AS (SELECT citation_id, split_part(lower(source_file), '/', 1) AS house, lower(source_file) AS file, text
