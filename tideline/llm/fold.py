@@ -10,13 +10,16 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
 # \w is exactly L, N and the underscore
 _OTHER = re.compile(r"[\W_]+")
 
 
 def fold(text: str) -> str:
     if "<" in text:
+        if "<!--" in text and "-->" in text:
+            text = _COMMENT.sub("", text)
         text = _TAG.sub("", text)
     if "&" in text:
         text = html.unescape(text)

@@ -46,7 +46,8 @@ SUPPORT, ROUNDS, ACCEPT, ACCEPT_CAPITALS = 3, 3, 0.5, 0.85
 
 _AT = r"(?: ?[@＠] ?| ?[(\[{] ?at ?[)\]}] ?)"
 _DOT = r"(?:[.．]| ?[(\[{] ?dot ?[)\]}] ?)"
-_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+'\-]*{_AT}[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+", re.I | re.A)
+# repeats are bounded, so that long texts cost no more than their length
+_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+'\-]{{0,63}}{_AT}[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,61}}[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,61}}[A-Za-z0-9])?)+", re.I | re.A)
 _HAS_AT = re.compile(r"[@＠]|[(\[{] ?at ?[)\]}]", re.I)
 
 _D, _B = "[0-9０-９]", r"(?<![0-9０-９A-Za-z.,_\-/])"
@@ -92,7 +93,7 @@ def resident_number(v: str) -> bool:
 #: Words that end a street's name.
 _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Crescent|Cres|Way|Court|Ct|Place|Pl|Square|Sq|Terrace|Boulevard|Blvd|Gardens|Grove|Row|Mews|Parade|Walk|Hill|Quay|Wharf|Gate"
 _STREET = re.compile(rf"(?<![\w.,\-/])\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})? ((?:[A-Z][\w'’\-]+ ){{1,3}}?(?:{_STREETS}))\b(?! (?:{_STREETS})\b)")
-_STRASSE = re.compile(r"(?<!\w)([A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm|steig|markt|chaussee)|[A-ZÄÖÜ][\wäöüß\-]+ (?:Straße|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm)) \d{1,4} ?[a-z]?(?![\w])")
+_STRASSE = re.compile(r"(?<!\w)([A-ZÄÖÜ][\wäöüß\-]{0,40}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm|steig|markt|chaussee)|[A-ZÄÖÜ][\wäöüß\-]+ (?:Straße|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm)) \d{1,4} ?[a-z]?(?![\w])")
 _ROAD = re.compile(r"(?:(?![市区县镇乡省州])[一-鿿]){1,6}?(?:大道|大街|路|街|巷|胡同|弄|里|道)[0-9０-９]{1,5}(?:[-－][0-9０-９]{1,5})?号")
 
 _TOWN = re.compile(r", ([A-Z][\w'’\-]+)")

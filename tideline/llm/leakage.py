@@ -13,7 +13,7 @@ The items' seeds are shipped to the tasks while they are at most MAX_SHIPPED,
 which is checked; beyond that they meet the documents' seeds in a shuffle join
 and only the hits travel.
 
-Defined results: null and empty texts contain nothing; repeated documents are
+Defined results: null and empty texts contain nothing; rows without an id take no part; repeated documents are
 all reported; items shorter than their required run are never found; an item
 without a known language needs the longer run; other columns are not looked at.
 """
@@ -154,9 +154,9 @@ def _parts(b: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[pa.RecordBatch
 def leaks(docs: DataFrame, items: DataFrame, report: bool = False, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """(doc_id, item_id, longest_run, tolerant), one row a document and item."""
     spark = docs.sparkSession
-    it = items.where("text is not null").select("item_id", "text", "lang")
+    it = items.where("text is not null and item_id is not null").select("item_id", "text", "lang")
     size = it.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    d = docs.where("length(text) > 0").select("doc_id", "text")
+    d = docs.where("length(text) > 0 and doc_id is not null").select("doc_id", "text")
     if size <= max_shipped:
         shipped = spark.sparkContext.broadcast([(r.item_id, fold(r.text), r.lang) for r in it.toLocalIterator()])
 

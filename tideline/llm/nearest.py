@@ -161,7 +161,7 @@ def nearest(
     (record_id, entity, at); ``at`` is bigint microseconds."""
     size = 1 << BLOCK_BITS
     assert 0 <= tolerance_us <= size // 4
-    q = queries.where("entity is not null and at is not null").withColumn("block", F.shiftright("at", BLOCK_BITS))
+    q = queries.where("query_id is not null and entity is not null and at is not null").withColumn("block", F.shiftright("at", BLOCK_BITS))
     r = records.where("record_id is not null and entity is not null and at is not null")
     r = r.groupBy("entity", "at").agg(F.min("record_id").alias("record_id"))
     edges = [F.shiftright(F.col("at") + d, BLOCK_BITS) for d in (-tolerance_us, 0, tolerance_us)]
