@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a block (2^32 us, about 72 minutes) and of the universe inside it.
-BLOCK_BITS, BITS = 32, 33
+#: Bits of a block (2^30 us, about 18 minutes) and of the universe inside it.
+BLOCK_BITS, BITS = 30, 31
 #: Queries of one (entity, block) above which it is salted.
 HOT = 200_000
 #: Rows gathered before complete groups are answered.
-CHUNK = 400_000
+CHUNK = 100_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,10 +45,10 @@ class PrefixTable:
         """prefixes: sorted, one for each record, with repeats."""
         head = np.flatnonzero(np.append(True, prefixes[1:] != prefixes[:-1]))
         self.keys = prefixes[head]
-        self.first, self.last = head, np.append(head[1:], len(prefixes)) - 1
+        self.first, self.last = head.astype(np.int32), (np.append(head[1:], len(prefixes)) - 1).astype(np.int32)
         self.shift = np.uint64(64 - max(4, int(2 * len(head) - 1).bit_length()))
         self.mask = (1 << (64 - int(self.shift))) - 1
-        self.slots = np.full(self.mask + 1, -1, np.int64)
+        self.slots = np.full(self.mask + 1, -1, np.int32)
         todo, at = np.arange(len(head)), self._hash(self.keys)
         while len(todo):
             free = self.slots[at] < 0
