@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import corpus, events, general, streams
+from tideline.plans import corpus, events, extras, general, streams
 
-_MODULES = [general, events, corpus, streams]
+_MODULES = [general, events, corpus, streams, extras]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
