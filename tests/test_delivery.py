@@ -59,3 +59,23 @@ def test_empty(spark):
     assert D.surplus_messages(spark.createDataFrame([], FLASH)).count() == 0
     assert D.surplus_articles(spark.createDataFrame([], "id bigint, site string, hash string, created_at timestamp_ntz")).count() == 0
     assert D.seen_ranges(spark.createDataFrame([], FLASH)).count() == 0
+
+
+def test_stream_keeps_ranges_between_batches(spark, tmp_path):
+    from tideline.streaming.deliveries import accepted
+
+    rng = random.Random(8)
+    schema = "row_id bigint, batch_id bigint, id string"
+    want, n = set(), 0
+    for part in range(3):
+        rows = [(n + i, part, f"2025010{rng.randrange(1, 3)}{rng.randrange(60):015d}") for i in range(80)] + [(n + 80, part, None), (n + 81, part, "abc")]
+        n += 100
+        for r in rows[:80]:
+            want.add(r[2])
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = accepted(stream).writeStream.format("memory").queryName("first_by_range").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = [f"{r.producer}{r.number:015d}" for r in spark.table("first_by_range").collect()]
+    assert sorted(got) == sorted(want)

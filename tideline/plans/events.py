@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators import labels, metrics, temporal
-from tideline.session import table
+from tideline.session import cut, table
 
 WINDOWS = [5, 10, 15, 30]
 SPLIT = ("2025-08-01", "2025-11-01", "2026-02-01")
@@ -33,12 +33,12 @@ def s2_event_scan(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "news_items").select("news_id", "ts", "source", "event_id", "country", "name", "content", "star", "previous", "consensus", "actual").orderBy("ts", "news_id")
 
 
-def _impacts(s: SparkSession, d: str) -> DataFrame:
-    return temporal.impacts(_news(s, d), _bars(s, d), "news_id", "ticker", "ts_utc", WINDOWS)
+def _impacts(s: SparkSession, d: str, windows: list[int] = WINDOWS) -> DataFrame:
+    return temporal.impacts(_news(s, d), _bars(s, d), "news_id", "ticker", "ts_utc", windows)
 
 
 def s3_impact_scan(s: SparkSession, d: str) -> DataFrame:
-    return _impacts(s, d).where("ticker = 'XAUUSD' and window_min = 15").select("news_id", F.round("ret", 9).alias("ret_post"))
+    return _impacts(s, d, [15]).where("ticker = 'XAUUSD'").select("news_id", F.round("ret", 9).alias("ret_post"))
 
 
 def s4_price_range(s: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def f7_event_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def f8_significant(s: SparkSession, d: str) -> DataFrame:
-    i = _impacts(s, d).where("window_min = 15 and abs(ret) > 0.0005").select("news_id", F.round("ret", 9).alias("ret"))
+    i = _impacts(s, d, [15]).where("abs(ret) > 0.0005").select("news_id", F.round("ret", 9).alias("ret"))
     return table(s, d, "news_items").where("content is not null and length(content) > 20").select("news_id").join(i, "news_id")
 
 
@@ -102,7 +102,7 @@ def f17_head(s: SparkSession, d: str) -> DataFrame:
 
 def j1_events_impacts(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "news_items").select("news_id", "source", "country")
-    i = _impacts(s, d).where("window_min = 30").select("news_id", F.round("ret", 9).alias("ret"))
+    i = _impacts(s, d, [30]).select("news_id", F.round("ret", 9).alias("ret"))
     return e.join(i, "news_id")
 
 
@@ -119,7 +119,7 @@ def j2_window_pivot(s: SparkSession, d: str) -> DataFrame:
 
 def j3_left_default(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "news_items").where("source like '%calendar%'").select("news_id")
-    i = _impacts(s, d).where("window_min = 15").select("news_id", "ret")
+    i = _impacts(s, d, [15]).select("news_id", "ret")
     return e.join(i, "news_id", "left").select("news_id", F.round(F.coalesce("ret", F.lit(0.0)), 9).alias("ret"))
 
 
@@ -331,10 +331,11 @@ def t5_quotas(s: SparkSession, d: str) -> DataFrame:
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Events, as-of returns, look-back context, train-only quantiles, labels; counts a split and label."""
-    e = temporal.fresh(_impacts(s, d).where("window_min = 15")).select("news_id", "ret")
+    e = temporal.fresh(_impacts(s, d, [15])).select("news_id", "ret")
     c = a1_lookback(s, d).select("news_id", "pre_ret", "trend_tag")
     x = _news(s, d).select("news_id", "ts").join(e, "news_id").join(c, "news_id", "left")
-    x = x.withColumn("part", F.when(F.col("ts") < F.lit("2025-10-08").cast("timestamp_ntz"), "train").otherwise("test"))
+    # the thresholds and the labels both read these rows: they are joined once
+    x = cut(x.select("ret", "trend_tag", F.when(F.col("ts") < F.lit("2025-10-08").cast("timestamp_ntz"), "train").otherwise("test").alias("part")))
     t = labels.quantiles(x.where("part = 'train'"), {"ql": (F.col("ret"), 0.3, -0.001), "qh": (F.col("ret"), 0.7, 0.001)})
     y = labels.with_thresholds(x, t).withColumn("label", labels.three_class(F.col("ret"), F.col("ql"), F.col("qh")))
     return y.groupBy("part", "label", F.coalesce("trend_tag", F.lit("none")).alias("trend_tag")).agg(F.count("*").alias("n"))

@@ -35,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan with at least one partition a core, for steps that cost much more than a shuffle.
+
+    A table of few row groups would leave cores idle; one that already has
+    enough partitions, as every large one, is left alone. Only for plans without
+    an exchange, whose partitions are known before they run.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the lineage ends in files all executors share.
 
