@@ -31,6 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tideline.session import spread
+
 #: Folder of the vocabulary files; a parameter of every operator here.
 VOCABULARIES = "/opt/tokenizers"
 #: Words kept from batch to batch; beyond that the table is begun anew.
@@ -308,7 +310,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str
             for b in slices(whole, text):
                 yield pa.RecordBatch.from_arrays([b.column(key), enc.encode(b.column(text).to_pylist())], [key, "ids"])
 
-    d = docs.select(key, text)
+    d = spread(docs.select(key, text), key)
     return d.mapInArrow(run, f"{key} {dict(d.dtypes)[key]}, ids array<int>")
 
 
