@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.fold import fold
-from tideline.session import cut
+from tideline.session import cut, spread
 
 #: Fixed masks; 0: the position is ignored.
 MASKS = ("1110110100110111", "1101011011011011")
@@ -156,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, report: bool = False, max_shipped:
     spark = docs.sparkSession
     it = items.where("text is not null and item_id is not null").select("item_id", "text", "lang")
     size = it.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    d = docs.where("length(text) > 0 and doc_id is not null").select("doc_id", "text")
+    d = spread(docs.where("length(text) > 0 and doc_id is not null").select("doc_id", "text"), "doc_id")
     if size <= max_shipped:
         shipped = spark.sparkContext.broadcast([(r.item_id, fold(r.text), r.lang) for r in it.toLocalIterator()])
 
