@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import cut
+from tideline.session import cut, spread
 
 MAX_SEEDS = 100_000
 MIN_SHARE = 0.0005
@@ -352,7 +352,7 @@ def scored(proposed: DataFrame) -> DataFrame:
 
 def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, kind, found_value), distinct."""
-    d = docs.where("length(text) > 0").select("doc_id", "text")
+    d = spread(docs.where("length(text) > 0").select("doc_id", "text"), "doc_id")
     rows = seeds.where("name_part is not null").select("name_part", "name_kind").distinct().limit(MAX_SEEDS + 1).collect()
     if len(rows) > MAX_SEEDS:
         raise ValueError(f"more than {MAX_SEEDS} name parts; seeds are shipped to every task and must be a short list")
