@@ -55,6 +55,13 @@ def test_surplus_articles(spark):
     assert sorted(r[0] for r in D.surplus_articles(d).collect()) == [1, 7]
 
 
+def test_ranges_cross_blocks(spark):
+    numbers = [D.BLOCK - 2, D.BLOCK - 1, D.BLOCK, D.BLOCK + 1, D.BLOCK + 5, 2 * D.BLOCK - 1]
+    d = _flash(spark, [(i, 1, f"20250101{n:015d}") for i, n in enumerate(numbers)])
+    got = sorted((r.lo, r.hi, r.n) for r in D.seen_ranges(d).collect())
+    assert got == [(D.BLOCK - 2, D.BLOCK + 1, 4), (D.BLOCK + 5, D.BLOCK + 5, 1), (2 * D.BLOCK - 1, 2 * D.BLOCK - 1, 1)]
+
+
 def test_empty(spark):
     assert D.surplus_messages(spark.createDataFrame([], FLASH)).count() == 0
     assert D.surplus_articles(spark.createDataFrame([], "id bigint, site string, hash string, created_at timestamp_ntz")).count() == 0

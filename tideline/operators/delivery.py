@@ -155,12 +155,13 @@ def seen_ranges(flash: DataFrame) -> DataFrame:
     d = d.select(F.substring("key", 1, 8).cast("bigint").alias("producer"), F.substring("key", 9, 15).cast("bigint").alias("number"))
     block = F.expr(f"number div {BLOCK}")
     w = W.partitionBy("producer", block).orderBy("number")
-    # gaps and islands inside blocks, then over the few islands of a producer
+    # gaps and islands inside blocks
     d = d.withColumn("island", F.col("number") - F.row_number().over(w))
-    part = d.groupBy("producer", block.alias("block"), "island").agg(
-        F.min("number").alias("lo"), F.max("number").alias("hi"))
+    part = d.groupBy("producer", block.alias("block"), "island").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    # only ranges that touch an edge of their block, at most two a block, can go on in the next one
+    edge = (F.col("lo") % BLOCK == 0) | (F.col("hi") % BLOCK == BLOCK - 1)
     v = W.partitionBy("producer").orderBy("lo")
-    part = part.withColumn("head", (F.col("lo") != F.coalesce(F.lag("hi").over(v), F.lit(-2)) + 1).cast("int"))
-    part = part.withColumn("run", F.sum("head").over(v))
-    return part.groupBy("producer", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select(
-        "producer", "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("n"))
+    joined = part.where(edge).withColumn("head", (F.col("lo") != F.coalesce(F.lag("hi").over(v), F.lit(-2)) + 1).cast("int"))
+    joined = joined.withColumn("run", F.sum("head").over(v)).groupBy("producer", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = part.where(~edge).select("producer", "lo", "hi").unionAll(joined.select("producer", "lo", "hi"))
+    return out.select("producer", "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("n"))

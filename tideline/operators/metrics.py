@@ -47,9 +47,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def top_and_other(df: DataFrame, c: str, keep: int = 4) -> DataFrame:
     """(category, n): the ``keep`` most frequent values, the rest summed as Other if there are more than keep + 1."""
-    from pyspark.sql import Window as W
-
     n = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-    r = n.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), F.asc("v")))).withColumn("kinds", F.count("*").over(W.partitionBy()))
-    name = F.when((F.col("kinds") > keep + 1) & (F.col("rank") > keep), "Other").otherwise(F.coalesce("v", F.lit("(null)")))
-    return r.groupBy(name.alias("category")).agg(F.sum("n").alias("n"))
+    top = n.orderBy(F.desc("n"), F.asc("v")).limit(keep).select(F.col("v").alias("t"), F.lit(True).alias("top"))
+    kinds = n.agg(F.count("*").alias("kinds"))
+    r = n.join(F.broadcast(top), n["v"].eqNullSafe(top["t"]), "left").crossJoin(F.broadcast(kinds))
+    other = F.col("top").isNull() & (F.col("kinds") > keep + 1)
+    return r.groupBy(F.when(other, "Other").otherwise(F.coalesce("v", F.lit("(null)"))).alias("category")).agg(F.sum("n").alias("n"))
