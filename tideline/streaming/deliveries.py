@@ -36,5 +36,5 @@ def accepted(stream: DataFrame) -> DataFrame:
     d = stream.select("row_id", "batch_id", key.alias("key")).where(F.col("key").rlike(SEQUENCE))
     d = d.select(
         "row_id", "batch_id", F.substring("key", 1, 8).cast("bigint").alias("producer"), F.substring("key", 9, 15).cast("bigint").alias("number"))
-    return d.groupBy("producer", F.expr(f"number div {BLOCK}").alias("block")).applyInPandasWithState(
+    return d.withColumn("block", F.expr(f"number div {BLOCK}")).groupBy("producer", "block").applyInPandasWithState(
         _accept, _OUT, "lo array<bigint>, hi array<bigint>", "append", "NoTimeout")
