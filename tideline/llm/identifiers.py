@@ -46,9 +46,11 @@ SUPPORT, ROUNDS, ACCEPT, ACCEPT_CAPITALS = 3, 3, 0.5, 0.85
 
 _AT = r"(?: ?[@＠] ?| ?[(\[{] ?at ?[)\]}] ?)"
 _DOT = r"(?:[.．]| ?[(\[{] ?dot ?[)\]}] ?)"
-# repeats are bounded, so that long texts cost no more than their length
-_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+'\-]{{0,63}}{_AT}[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,61}}[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,61}}[A-Za-z0-9])?)+", re.I | re.A)
-_HAS_AT = re.compile(r"[@＠]|[(\[{] ?at ?[)\]}]", re.I)
+# the searches start at the rarest part of a shape and look left and right of it; repeats are bounded
+_LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+'\-]{0,63}\Z")
+_DOMAIN = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,61}}[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]{{0,61}}[A-Za-z0-9])?)+", re.I | re.A)
+_SIGN = re.compile(_AT, re.I)
+_SPELT = re.compile(r"[(\[{] ?[Aa][Tt] ?[)\]}]")
 
 _D, _B = "[0-9０-９]", r"(?<![0-9０-９A-Za-z.,_\-/])"
 _E = r"(?![0-9０-９A-Za-z_]|[\-./,][0-9０-９])"
@@ -71,12 +73,54 @@ _PHONE = re.compile(
 )
 _RESIDENT = re.compile(r"(?<![0-9０-９A-Za-z])[0-9０-９]{17}[0-9０-９XxＸｘ](?![0-9０-９A-Za-z])")
 _SSN = re.compile(r"(?<![0-9A-Za-z.,\-/])[0-9]{3}([\- ])[0-9]{2}\1[0-9]{4}(?![0-9A-Za-z]|[\-.,][0-9])")
-_NINO = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D](?![0-9A-Za-z])", re.I)
+_NINO_DIGITS = re.compile(r"[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-Da-d](?![0-9A-Za-z])")
+_NINO_LETTERS = re.compile(r"(?<![0-9A-Za-z])[A-Za-z]{2} ?\Z")
+#: Stretches long enough for a telephone, resident or social-security number.
+_DIGITS = re.compile(r"[+＋(0-9０-９][0-9０-９ ()\-./+＋]{7,}")
 #: Weights and check characters of the Chinese resident number.
 _WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 _CHECKS = "10X98765432"
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    end = 0
+    if "@" in text or "＠" in text or _SPELT.search(text):
+        for m in _SIGN.finditer(text):
+            left = _LOCAL.search(text, max(end, m.start() - 64), m.start())
+            right = left and _DOMAIN.match(text, m.end())
+            if right:
+                end = right.end()
+                yield left.start(), end
+
+
+def numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of identity and telephone numbers, without overlaps."""
+    for run in _DIGITS.finditer(text):
+        i = run.start()
+        while i < run.end():
+            m = _RESIDENT.match(text, i)
+            kind = "id_number" if m and resident_number(m[0]) else None
+            if not kind and (m := _SSN.match(text, i)):
+                kind = "id_number"
+            if not kind and (m := _PHONE.match(text, i)):
+                kind = "phone"
+            if kind:
+                yield kind, i, m.end()
+                i = m.end()
+            else:
+                i += 1
+    for m in _NINO_DIGITS.finditer(text):
+        if left := _NINO_LETTERS.search(text, max(0, m.start() - 4), m.start()):
+            yield "id_number", left.start(), m.end()
+
+
+def roads(text: str) -> Iterator[tuple[int, int]]:
+    """Road name and house number: up to six characters to the left that belong to no town or district."""
+    for m in _ROAD.finditer(text):
+        if left := _ROAD_NAME.search(text, max(0, m.start() - 6), m.start()):
+            yield left.start(), m.end()
+
+
 def resident_number(v: str) -> bool:
     """Right check character and a date of birth that exists."""
     v = unicodedata.normalize("NFKC", v).upper()
@@ -94,7 +138,8 @@ def resident_number(v: str) -> bool:
 _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Crescent|Cres|Way|Court|Ct|Place|Pl|Square|Sq|Terrace|Boulevard|Blvd|Gardens|Grove|Row|Mews|Parade|Walk|Hill|Quay|Wharf|Gate"
 _STREET = re.compile(rf"(?<![\w.,\-/])\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})? ((?:[A-Z][\w'’\-]+ ){{1,3}}?(?:{_STREETS}))\b(?! (?:{_STREETS})\b)")
 _STRASSE = re.compile(r"(?<!\w)([A-ZÄÖÜ][\wäöüß\-]{0,40}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm|steig|markt|chaussee)|[A-ZÄÖÜ][\wäöüß\-]+ (?:Straße|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm)) \d{1,4} ?[a-z]?(?![\w])")
-_ROAD = re.compile(r"(?:(?![市区县镇乡省州])[一-鿿]){1,6}?(?:大道|大街|路|街|巷|胡同|弄|里|道)[0-9０-９]{1,5}(?:[-－][0-9０-９]{1,5})?号")
+_ROAD = re.compile(r"(?:大道|大街|路|街|巷|胡同|弄|里|道)[0-9０-９]{1,5}(?:[-－][0-9０-９]{1,5})?号")
+_ROAD_NAME = re.compile(r"(?:(?![市区县镇乡省州])[一-鿿]){1,6}\Z")
 
 _TOWN = re.compile(r", ([A-Z][\w'’\-]+)")
 
@@ -279,28 +324,22 @@ def _propose(known: frozenset[str], surnames: frozenset[str], given: str, patter
         taken: list[tuple[int, int]] = []
         places: set[int] = set()
 
-        def sure(kind: str, m: re.Match) -> None:
-            found[kind, m[0]] = (True, None, False, [])
-            taken.append(m.span())
+        def sure(kind: str, a: int, b: int) -> None:
+            found[kind, text[a:b]] = (True, None, False, [])
+            taken.append((a, b))
 
         free = lambda a, b: all(b <= x or a >= y for x, y in taken)
-        if _HAS_AT.search(text):
-            for m in _EMAIL.finditer(text):
-                sure("email", m)
-        for m in _RESIDENT.finditer(text):
-            if resident_number(m[0]):
-                sure("id_number", m)
-        for shape in (_SSN, _NINO):
-            for m in shape.finditer(text):
-                if free(*m.span()):
-                    sure("id_number", m)
-        for m in _PHONE.finditer(text):
+        for a, b in emails(text):
+            sure("email", a, b)
+        for kind, a, b in numbers(text):
+            if free(a, b):
+                sure(kind, a, b)
+        for a, b in roads(text):
+            if free(a, b):
+                sure("address", a, b)
+        for m in _STRASSE.finditer(text):
             if free(*m.span()):
-                sure("phone", m)
-        for shape in (_ROAD, _STRASSE):
-            for m in shape.finditer(text):
-                if free(*m.span()):
-                    sure("address", m)
+                sure("address", *m.span())
         for m in _STREET.finditer(text):
             town = _TOWN.match(text, m.end())
             if town:
