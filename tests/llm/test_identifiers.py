@@ -7,19 +7,20 @@ from tideline.llm import identifiers as I
     ("write to a.b+c@mail.example.", ["a.b+c@mail.example"]), ("x (at) mail[dot]example now", ["x (at) mail[dot]example"]), ("A_1＠b.example.net据", ["A_1＠b.example.net"]),
     ("quote 1.5 @ close by", []), ("follow @someone", []), ("q @ w.example", ["q @ w.example"])])
 def test_emails(text, want):
-    assert [m[0] for m in I._EMAIL.finditer(text)] == want
+    assert [text[a:b] for a, b in I.emails(text)] == want
 
 
 @pytest.mark.parametrize("phone", [
     "15434093098", "154-4994-7878", "160 4489 9790", "+86 154 3788 1234", "１５４９０７８２８７５", "+44 (0)20 7946 0970", "+44 7700 900203", "07700 900314", "020 7946 0094",
     "(662) 555-0197", "1 (566) 555 0182", "+1-373-555-0107", "735-555-0192", "773.555.0191", "+1 985 555 0129", "+49 30 23125-555", "(030) 23125 651", "0171 3920076"])
 def test_phones(phone):
-    assert [m[0] for m in I._PHONE.finditer(f"call {phone} ext. 12.")] == [phone]
+    text = f"call {phone} ext. 12."
+    assert [(k, text[a:b]) for k, a, b in I.numbers(text)] == [("phone", phone)]
 
 
 @pytest.mark.parametrize("text", ["2025-8531-20", "GC-2024-09-309", "375131952257905297", "1234567890123456789012345", "2370-2404, stop 2219.25", "1.5088/1.8760", "66,419.99"])
 def test_no_phones(text):
-    assert not I._PHONE.search(text)
+    assert not list(I.numbers(text))
 
 
 def test_resident_numbers():
@@ -39,7 +40,14 @@ def test_streets(text, want):
 
 def test_other_streets():
     assert I._STRASSE.search("Frau X, Mühlweg 31b, bat")[0] == "Mühlweg 31b"
-    assert I._ROAD.search("云洲市栖霞区云栖巷921号3单元")[0] == "云栖巷921号"
+    text = "云洲市栖霞区云栖巷921号3单元"
+    assert [text[a:b] for a, b in I.roads(text)] == ["云栖巷921号"]
+
+
+@pytest.mark.parametrize("number", ["QQ465041B", "QQ 77 99 32 C", "988-39-8077", "930 24 2936"])
+def test_other_identity_numbers(number):
+    text = f"number {number}; tel"
+    assert [(k, text[a:b]) for k, a, b in I.numbers(text)] == [("id_number", number)]
 
 
 def test_name_spans():
