@@ -29,12 +29,6 @@ DEPTH = 3
 SALTS = 16
 
 
-def template(line):
-    """Trimmed, white space to one blank, lower case, digit runs to one slot."""
-    flat = F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
-    return F.regexp_replace(F.lower(flat), "[0-9]+", "0")
-
-
 def _sourced(df: DataFrame, source_file: str) -> DataFrame:
     name = F.lower(source_file)
     d = df.where(F.trim(source_file) != "")
