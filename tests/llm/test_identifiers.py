@@ -57,6 +57,7 @@ def test_name_spans():
     assert names("Mr Ketel Q. Nylund-Zel of") == ["Ketel Q. Nylund-Zel"]
     assert names("by Tornimum Bank Loris Hult") == ["Loris Hult"]
     assert names("Overnight, Vennimark Steel fell") == []
+    assert names("Autor: J. Praona Redaktion: Coretti, Junind <x") == ["J. Praona", "Coretti, Junind"]
 
 
 def _people(n):

@@ -154,6 +154,7 @@ _NO_NAME = frozenset(
     "funds securities insurance airlines motors index desk street st road rd avenue ave lane ln drive dr close crescent cres way court ct place pl "
     "square sq terrace boulevard blvd gardens grove row mews parade walk hill flat unit apt suite monday tuesday wednesday thursday friday saturday sunday january "
     "february march april may june july august september october november december percent prozent stück bitte sie weekly daily metals "
+    "redaktion kontakt rückfragen presse press editors office enquiries questions statements complaint "
     "note review comment reply kind regards anschrift adresse address quote range ticket follow see send flash update breaking it its "
     "this that these those we they he she i there here when where while after before during since q der die das den dem des ein eine".split()
 )
