@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from tideline.llm import identifiers as I
@@ -88,3 +91,16 @@ def test_empty(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     s = spark.createDataFrame([], "name_part string, name_kind string")
     assert I.found(d, s).count() == 0
+
+
+def test_names_beside_many_copies_of_one_text(spark):
+    chars = "若牧听知瑾远越溪雪舒望怀清云"
+    rng = random.Random(5)
+    rows = [(i, f"{rng.choice(['分析师', '记者'])}{'禤亓羿佴'[i // 14 % 4]}{chars[i % 14]}{rng.choice(chars)}{rng.choice(['表示', '报道'])}，价格{i}上涨。") for i in range(112)]
+    rows += [(200, "分析师禤若霁表示，价格走低。"), (201, "分析师亓珩表示，价格走低。"), (202, "分析师羿若说明了原因。"), (203, "分析师羿若牧说明了原因。")]
+    rows += [(300 + i, "分析师亓若牧认为，铜价上涨。") for i in range(240)] + [(600 + i, f"价格{i}走远了，清淡。") for i in range(364)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seeds = spark.createDataFrame([(c, "family") for c in "禤亓羿"], "name_part string, name_kind string")
+    got = {(r.doc_id, r.found_value) for r in I.found(d, seeds).collect()}
+    want = {(i, re.search("[禤亓羿佴]..", t)[0]) for i, t in rows[:112]} | {(200, "禤若霁"), (201, "亓珩"), (202, "羿若"), (203, "羿若牧")} | {(300 + i, "亓若牧") for i in range(240)}
+    assert got == want

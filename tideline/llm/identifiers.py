@@ -11,11 +11,15 @@ that no seed knows.
 
 Chinese names have no capital letters, so their patterns are induced from seed
 surnames in a first pass; the second pass proposes every instance of any kind
-with its patterns, and only these proposals go through the graph.
+with its patterns, and only these proposals go through the graph. The first pass
+counts distinct surroundings, so copies of a text weigh nothing, and asks for no
+share of all names: a character begins given names if it follows two seed
+surnames, or one that is mostly followed by such characters, or stands mostly in
+their patterns; it ends them if it stands mostly between them and the right side
+of a pattern.
 
-What is sent to the tasks is bounded: the seed list (at most MAX_SEEDS parts,
-checked), and patterns and given-name characters with a minimum share of all
-seeds found, so there are at most 1 / MIN_SHARE of them.
+What is sent to the tasks is bounded: the seed list (at most MAX_SEEDS parts)
+and the patterns (at most MAX_PATTERNS), both checked, and characters.
 
 Defined results: null and empty texts hold nothing; a value is reported once a
 document and kind, exactly as written; repeated documents are all reported;
@@ -27,18 +31,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.session import cut, spread
 
 MAX_SEEDS = 100_000
-MIN_SHARE = 0.0005
+MAX_PATTERNS = 200_000
 #: Distinct instances a pattern needs, the rounds of scoring, and the score that counts.
 SUPPORT, ROUNDS, ACCEPT, ACCEPT_CAPITALS = 3, 3, 0.5, 0.85
 
@@ -263,19 +266,76 @@ def _seed_contexts(surnames: frozenset[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, tail, right = [], [], []
+            name, left, right = [], [], []
             for t in b.column("text").to_pylist() if find else ():
                 for m in find.finditer(t):
                     k = m.start()
+                    name.append(t[k])
                     left.append(_edge(t[max(0, k - 4) : k], -1))
-                    tail.append(t[k + 1 : k + 3])
                     right.append(t[k + 1 : k + 8])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (left, tail, right)], ["l", "tail", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (name, left, right)], ["c", "l", "after"])
 
     return run
 
 
-def chinese_names(text: str, find: re.Pattern, given: str, patterns: frozenset[tuple[str, str]], surnames: frozenset[str]) -> list[tuple[int, int, str, str, int]]:
+def _right(rest: Column) -> Column:
+    """The sign on the right, as `_edge` has it, of what follows a name."""
+    rest = F.regexp_replace(rest, "^[ 　\xa0\\t\\r]+", "")
+    head = F.substring(rest, 1, 1)
+    return F.when(rest == "", "\n").when(head.rlike(_HAN), F.substring(rest, 1, 2)).when(head.rlike("[0-9０-９]"), "9").otherwise(head)
+
+
+def _patterns(around: DataFrame, first: str, second: str) -> DataFrame:
+    """(l, r, n): surroundings of at least two distinct names of a seed surname and given-name characters."""
+    named = around.withColumn("name", F.regexp_extract("after", f"^[{first}][{second}]?", 0)).where("name != ''")
+    named = named.select("l", _right(F.expr("substring(after, 1 + length(name))")).alias("r"), "c", "name").distinct()
+    return named.groupBy("l", "r").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def _firsts(pairs: dict[tuple[str, str], tuple[int, int]]) -> str:
+    """Characters that begin given names; ``pairs``: surname and next character, with their surroundings and those in patterns."""
+    after: dict[str, dict[str, tuple[int, int]]] = {}
+    before: dict[str, dict[str, tuple[int, int]]] = {}
+    for (c, h), n in pairs.items():
+        after.setdefault(c, {})[h] = n
+        before.setdefault(h, {})[c] = n
+    first = {h for h, cs in before.items() if len(cs) >= min(2, len(after))}
+    while True:
+        # a surname that is mostly followed by them is no common word: whatever follows it begins a name
+        good = {c for c, hs in after.items() if sum(n for h, (n, _) in hs.items() if h in first) >= ACCEPT * sum(n for n, _ in hs.values())}
+        more = {h for h, cs in before.items() if sum(n if c in good else held for c, (n, held) in cs.items()) >= ACCEPT * sum(n for n, _ in cs.values())} - first
+        if not more:
+            return "".join(sorted(first))
+        first |= more
+
+
+def given_names(around: DataFrame) -> tuple[str, str]:
+    """Characters that begin and that end given names, from the distinct surroundings of seed surnames."""
+    heads = around.select("c", F.substring("after", 1, 1).alias("h"), "l", "after")
+    # at most all pairs of characters there are
+    pairs = {(r.c, r.h): r.n for r in heads.groupBy("c", "h").agg(F.count("*").alias("n")).collect()}
+    first = _firsts({k: (n, 0) for k, n in pairs.items()})
+    if not first:
+        return "", ""
+    p = cut(_patterns(around, first, first))
+    if any(h not in first for _, h in pairs):
+        sides = heads.select("*", F.explode(F.array(*[_right(F.expr(f"substring(after, {i})")) for i in (2, 3)])).alias("r"))
+        held = sides.join(p, ["l", "r"], "left_semi").select("c", "h", "l", "after").distinct().groupBy("c", "h").agg(F.count("*").alias("n"))
+        stands = {(r.c, r.h): r.n for r in held.collect()}
+        first = _firsts({k: (n, stands.get(k, 0)) for k, n in pairs.items()})
+    # other second characters: the surroundings with them are a better pattern than those without
+    han = lambda i: F.substring("after", i, 1)
+    x = around.where(han(1).isin(*first)).withColumns({"x": han(2), "y": han(3), "r1": _right(F.expr("substring(after, 2)")), "r2": _right(F.expr("substring(after, 3)"))})
+    ends = x.where(F.col("x").rlike(_HAN) & ~F.col("x").isin(*first))
+    ends = ends.join(p.select("l", F.col("r").alias("r1"), F.col("n").alias("without")), ["l", "r1"], "left").join(p.select("l", F.col("r").alias("r2"), F.col("n").alias("n2")), ["l", "r2"], "left")
+    votes = ends.select("x", (F.coalesce("n2", F.lit(0)) > F.coalesce("without", F.lit(0))).cast("double").alias("vote"))
+    # a word after names follows those of two characters as well
+    votes = votes.unionAll(x.where(F.col("x").isin(*first)).select("y", F.lit(0.0)))
+    more = votes.groupBy("x").agg(F.avg("vote").alias("score")).where(F.col("score") > ACCEPT).select("x").collect()
+    return first, "".join(sorted({*first, *(r.x for r in more)}))
+
+
+def chinese_names(text: str, find: re.Pattern, patterns: frozenset[tuple[str, str]], surnames: frozenset[str]) -> list[tuple[int, int, str, str, int]]:
     """(start, end, surname, pattern, known) of spans a pattern or a seed surname holds."""
     out = []
     for m in find.finditer(text):
@@ -287,13 +347,13 @@ def chinese_names(text: str, find: re.Pattern, given: str, patterns: frozenset[t
     return out
 
 
-def _surname_counts(given: str, patterns: frozenset[tuple[str, str]]):
-    """(surname, pattern or null, n) a batch: windows of one character and given-name characters."""
-    find = re.compile(f"(?=({_HAN}[{given}]{{1,2}}))")
+def _windows(first: str, second: str, patterns: frozenset[tuple[str, str]]):
+    """(surname, pattern or null, the text around) of windows of one character and given-name characters."""
+    find = re.compile(f"(?=({_HAN}[{first}][{second}]?))")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: Counter[tuple[str, str | None]] = Counter()
+            seen: set[tuple[str, str | None, str]] = set()
             for text in b.column("text").to_pylist():
                 end = -1
                 for m in find.finditer(text):
@@ -303,9 +363,9 @@ def _surname_counts(given: str, patterns: frozenset[tuple[str, str]]):
                     p = (_edge(text[max(0, s - 4) : s], -1), _edge(text[e : e + 6], 1))
                     hit = p in patterns
                     end = e if hit else end
-                    n[text[s], f"{p[0]}|{p[1]}" if hit else None] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["c", "p", "n"])
+                    seen.add((text[s], f"{p[0]}|{p[1]}" if hit else None, text[max(0, s - 4) : e + 6]))
+            cols = list(zip(*seen, strict=True)) if seen else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in cols], ["c", "p", "w"])
 
     return run
 
@@ -315,10 +375,10 @@ def _surname_counts(given: str, patterns: frozenset[tuple[str, str]]):
 _PROPOSED = "doc_id bigint, kind string, value string, sure boolean, key string, seed boolean, patterns array<string>"
 
 
-def _propose(known: frozenset[str], surnames: frozenset[str], given: str, patterns: frozenset[tuple[str, str]]):
-    if given:
+def _propose(known: frozenset[str], surnames: frozenset[str], first: str, second: str, patterns: frozenset[tuple[str, str]]):
+    if first:
         # every Chinese character before one or two given-name characters, as far right as they go
-        zh = re.compile(f"(?=({_HAN}[{given}]{{1,2}}))")
+        zh = re.compile(f"(?=({_HAN}[{first}][{second}]?))")
 
     def of(text: str) -> list[tuple[str, str, bool, str, bool, list[str]]]:
         found: dict[tuple[str, str], tuple] = {}
@@ -354,9 +414,9 @@ def _propose(known: frozenset[str], surnames: frozenset[str], given: str, patter
                 old = found.get(("name", text[s:e]))
                 kind_of = "c" if text[s:e].isupper() else "n"  # capitals have patterns of their own
                 found["name", text[s:e]] = (False, "n " + key, n > 0, [kind_of + x for x in contexts(text, s, e)] + (old[3] if old else []))
-        if given:
+        if first:
             end = -1
-            for s, e, key, p, n in chinese_names(text, zh, given, patterns, surnames):
+            for s, e, key, p, n in chinese_names(text, zh, patterns, surnames):
                 if s >= end:
                     end = e
                     old = found.get(("name", text[s:e]))
@@ -399,30 +459,22 @@ def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     known = frozenset(p for r in rows for p in part_key(r.name_part))
     surnames = frozenset(r.name_part for r in rows if r.name_kind == "family" and re.fullmatch(_HAN, r.name_part))
 
-    around = cut(d.select("text").mapInArrow(_seed_contexts(surnames), "l string, tail string, after string"))
-    n = around.count()
-    least = max(2, int(n * MIN_SHARE))
-    chars = around.select(F.explode(F.split("tail", "")).alias("c")).where(F.col("c").rlike(_HAN)).groupBy("c").count()
-    # a given-name character follows surnames far more often than the words after names do
-    heads = around.select(F.substring("tail", 1, 1).alias("c")).groupBy("c").count()
-    given = "".join(sorted(r.c for r in heads.where(F.col("count") > max(2, n * 0.02)).join(chars, "c").select("c").collect()))
+    around = cut(d.select("text").mapInArrow(_seed_contexts(surnames), "c string, l string, after string").distinct())
+    first, second = given_names(around)
     patterns: frozenset[tuple[str, str]] = frozenset()
-    if given:
-        name = F.regexp_extract("after", f"^[{given}]{{1,2}}", 0)
-        rest = F.regexp_replace(F.expr("substring(after, 1 + length(name))"), "^[ 　 \\t\\r]+", "")
-        pat = around.withColumn("name", name).where("name != ''").withColumn("rest", rest)
-        head = F.substring("rest", 1, 1)
-        right = F.when(F.col("rest") == "", "\n").when(head.rlike(_HAN), F.substring("rest", 1, 2)).when(head.rlike("[0-9０-９]"), "9").otherwise(head)
-        pat = pat.groupBy("l", right.alias("r")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        patterns = frozenset((r.l, r.r) for r in pat.collect())
+    if first:
+        pairs = _patterns(around, first, second).select("l", "r").limit(MAX_PATTERNS + 1).collect()
+        if len(pairs) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} patterns of Chinese names; they are shipped to every task and must be few")
+        patterns = frozenset((r.l, r.r) for r in pairs)
 
     if patterns:
         # a surname no seed knows: most of its windows stand in patterns, and in several of them; at most all characters there are
-        seen = d.select("text").where(F.col("text").rlike(_HAN)).mapInArrow(_surname_counts(given, patterns), "c string, p string, n bigint")
-        seen = seen.groupBy("c").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("p").isNotNull(), F.col("n"))).alias("hit"), F.count_distinct("p").alias("kinds"))
-        surnames |= {r.c for r in seen.where((F.col("kinds") >= SUPPORT) & (F.col("hit") >= ACCEPT * F.col("all")) & (F.col("hit") >= least)).select("c").collect()}
+        seen = d.select("text").where(F.col("text").rlike(_HAN)).mapInArrow(_windows(first, second, patterns), "c string, p string, w string").distinct()
+        seen = seen.groupBy("c").agg(F.count("*").alias("all"), F.count("p").alias("hit"), F.count_distinct("p").alias("kinds"))
+        surnames |= {r.c for r in seen.where((F.col("kinds") >= SUPPORT) & (F.col("hit") >= ACCEPT * F.col("all"))).select("c").collect()}
 
-    proposed = cut(d.mapInArrow(_propose(known, surnames, given, patterns), _PROPOSED))
+    proposed = cut(d.mapInArrow(_propose(known, surnames, first, second, patterns), _PROPOSED))
     # words in capitals are often no names: their patterns need a higher score
     good = scored(proposed).where(F.col("score") >= F.when(F.col("pattern").startswith("c"), ACCEPT_CAPITALS).otherwise(ACCEPT)).select("pattern")
     open_ = proposed.where("not sure")
