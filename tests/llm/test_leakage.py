@@ -60,3 +60,32 @@ def test_substitutions_are_reported(spark):
 def test_empty(spark, case):
     d, it = _frames(spark, *case)
     assert L.leaks(d.limit(0), it).count() == 0 and L.leaks(d, it.limit(0)).count() == 0
+
+
+def _tolerant(f, g):
+    """Longest stretch around any window of f and g that a mask bears, by trying all of them."""
+    best = 0
+    for i in range(len(f) - L.SPAN + 1):
+        for j in range(len(g) - L.SPAN + 1):
+            if any(all(u == "0" or f[i + k] == g[j + k] for k, u in enumerate(m)) for m in L.MASKS):
+                sides = [list(zip(f[i:], g[j:], strict=False)), list(zip(f[:i][::-1], g[:j][::-1], strict=False))]
+                reach = [max((n for n in range(1, len(s) + 1) if s[n - 1][0] == s[n - 1][1] and sum(x != y for x, y in s[:n]) * 10 <= n), default=0) for s in sides]
+                best = max(best, sum(reach))
+    return best
+
+
+def test_report_against_brute_force(spark):
+    rng = random.Random(3)
+    zh = lambda n: "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(n))
+    items = [(i, zh(60), "zh") for i in range(4)]
+    docs = []
+    for k in range(60):
+        piece = list(items[k % 4][1][k % 7 : k % 7 + 24 + k % 5])
+        for i in rng.sample(range(len(piece)), 2):
+            piece[i] = "一"
+        docs.append((k, zh(rng.randrange(20)) + "".join(piece) + zh(rng.randrange(20))))
+    want = {(d, i, n) for d, t in docs for i, x, _ in items if (n := _tolerant(fold(t), fold(x))) >= L.NEED["zh"]}
+    d, it = _frames(spark, docs, items)
+    assert len(want) > 30
+    for most in (L.MAX_SHIPPED, 0):
+        assert {(r.doc_id, r.item_id, r.tolerant) for r in L.leaks(d, it, report=True, max_shipped=most).collect()} == want

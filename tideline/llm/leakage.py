@@ -3,9 +3,12 @@
 A seed is a window of SPAN characters of the folded text of which a fixed mask
 ignores some; equal seeds of an item and a document start a comparison along
 their diagonal, which bears substitutions. Items are seeded at every position,
-documents at every STRIDE-th: a shared run of SPAN + STRIDE - 1 = 23 characters
-always holds a whole window that was seeded, so no run of a required length
-(50, or 24 in Chinese) is missed. Overlaps around a hit are then measured
+documents at every STRIDE-th for exact runs: a shared run of SPAN + STRIDE - 1 =
+23 characters always holds a whole window that was seeded, so no run of a
+required length (50, or 24 in Chinese) is missed. The report, which bears
+substitutions, seeds documents at every position as well: a tolerant overlap is
+found where one of its windows has its substitutions on places a mask ignores.
+Overlaps around a hit are then measured
 exactly: the longest run of equal characters, and the longest stretch whose
 substitutions stay below TOLERANCE.
 
@@ -64,25 +67,28 @@ def seeds(flat: np.ndarray, begins: np.ndarray, stride: int, mask: str) -> tuple
 
 
 def overlap(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
-    """Along the diagonal of a[i], b[j]: longest exact run, longest tolerant stretch around the hit."""
+    """Along the diagonal of a[i], b[j]: longest exact run, longest tolerant stretch around any window a mask bears."""
     back = min(i, j)
     n = min(len(a) - i, len(b) - j) + back
     equal = a[i - back : i - back + n] == b[j - back : j - back + n]
     wrong = np.flatnonzero(~equal)
     runs = np.diff(np.concatenate(([-1], wrong, [n]))) - 1
-    exact = int(runs.max(initial=0))
-    # from the hit outwards, as long as the share of substitutions stays below TOLERANCE
-    lo = _reach(equal[:back][::-1])
-    hi = _reach(equal[back:])
-    return exact, lo + hi
+    hit = np.zeros(n - SPAN + 1, bool)
+    for mask in MASKS:
+        hit |= np.logical_and.reduce([equal[k : k + len(hit)] for k, used in enumerate(mask) if used == "1"])
+    at = np.flatnonzero(hit)
+    # from the hits outwards, as long as the share of substitutions stays below TOLERANCE
+    near = _reach(equal, at) + _reach(equal[::-1], n - at)
+    return int(runs.max(initial=0)), int(near.max(initial=0))
 
 
-def _reach(equal: np.ndarray) -> int:
-    if not len(equal):
-        return 0
-    share = np.cumsum(~equal) / np.arange(1, len(equal) + 1)
-    ok = np.flatnonzero((share <= TOLERANCE) & equal)
-    return int(ok[-1]) + 1 if len(ok) else 0
+def _reach(equal: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How far each of the places reaches to the right, to an equal character."""
+    surplus = np.append(0, np.cumsum(~equal)) - TOLERANCE * np.arange(len(equal) + 1)
+    # the farthest end whose surplus is not above the place's own: least values from the right only grow
+    ends = np.append(np.inf, np.where(equal, surplus[1:], np.inf))
+    least = np.minimum.accumulate(ends[::-1])[::-1]
+    return np.maximum(np.searchsorted(least, surplus[at] + 1e-6, "right") - 1 - at, 0)
 
 
 class Items:
@@ -114,7 +120,7 @@ def scan(items: Items, keys: np.ndarray, folded: list[str], report: bool) -> lis
     best: dict[tuple[int, int], list[int]] = {}
     done = set()
     for mask, (h, item, pos, seen) in list(zip(MASKS, items.tables, strict=True))[: None if report else 1]:
-        dh, doc, dpos = seeds(flat, begins, STRIDE, mask)
+        dh, doc, dpos = seeds(flat, begins, 1 if report else STRIDE, mask)
         some = np.flatnonzero(seen[dh >> np.uint64(44)])
         lo, hi = np.searchsorted(h, dh[some], "left"), np.searchsorted(h, dh[some], "right")
         for s, a, b in zip(some[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
@@ -186,7 +192,7 @@ def _by_join(d: DataFrame, it: DataFrame, report: bool) -> DataFrame:
 
         return run
 
-    ds = d.mapInArrow(emit("doc_id", STRIDE), "h bigint, doc_id bigint, mask int")
+    ds = d.mapInArrow(emit("doc_id", 1 if report else STRIDE), "h bigint, doc_id bigint, mask int")
     its = it.select("item_id", "text").mapInArrow(emit("item_id", 1), "h bigint, item_id bigint, mask int").distinct()
     hits = cut(ds.join(its, ["h", "mask"]).select("doc_id", "item_id").distinct())
 
