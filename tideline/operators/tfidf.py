@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.text import ngrams
 
 
+def grams(text: Column, low: int = 2, high: int = 4) -> Column:
+    """All n-grams of low..high characters."""
+    return F.flatten(F.array(*[ngrams(text, n) for n in range(low, high + 1)]))
+
+
 def terms(df: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
     """(key, term, tf) of all n-grams of low..high characters."""
-    grams = F.flatten(F.array(*[ngrams(F.col(text), n) for n in range(low, high + 1)]))
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return df.where(F.col(text).isNotNull()).select(key, F.explode(grams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def fit(train: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 3, max_features: int = 200_000) -> DataFrame:
@@ -34,7 +38,7 @@ def transform(df: DataFrame, model: DataFrame, key: str, text: str, low: int = 2
     return w.join(n, key).select(key, "term", (F.col("weight") / F.col("size")).alias("weight"))
 
 
-def linear_classifier(train: DataFrame, text: str, label: str, features: int = 1 << 14, n: int = 2, reg: float = 1e-3, rounds: int = 20):
+def linear_classifier(train: DataFrame, text: str, label: str, features: int = 1 << 18, low: int = 2, high: int = 4, reg: float = 1e-3, rounds: int = 20):
     """A fitted pipeline: hashed n-gram TF-IDF and one linear SVM a class. Labels are numbers from 0."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, OneVsRest
@@ -45,4 +49,4 @@ def linear_classifier(train: DataFrame, text: str, label: str, features: int = 1
         IDF(inputCol="tf", outputCol="features", minDocFreq=3),
         OneVsRest(classifier=LinearSVC(maxIter=rounds, regParam=reg), labelCol=label, featuresCol="features", predictionCol="pred"),
     ])
-    return p.fit(train.withColumn("grams", ngrams(F.coalesce(text, F.lit("")), n)))
+    return p.fit(train.withColumn("grams", grams(F.coalesce(text, F.lit("")), low, high)))

@@ -168,17 +168,29 @@ def l1_tfidf_weights(s: SparkSession, d: str) -> DataFrame:
     return w.groupBy("rec_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
 
 
+def l1_tfidf_idf_2_4(s: SparkSession, d: str) -> DataFrame:
+    """The operator's whole range of n-grams; `l1_tfidf_idf` has the bigrams only, as its SQL."""
+    t = table(s, d, "bert_finetune_cls").where("split = 'train'").select("rec_id", F.coalesce("text", F.lit("")).alias("text"))
+    return tfidf.fit(t, "rec_id", "text").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def l1_tfidf_weights_2_4(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "bert_finetune_cls").select("rec_id", "split", F.coalesce("text", F.lit("")).alias("text"))
+    w = tfidf.transform(t.where("split = 'test'"), tfidf.fit(t.where("split = 'train'"), "rec_id", "text"), "rec_id", "text")
+    return w.groupBy("rec_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("top"))
+
+
 def l2_classifier(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "bert_finetune_cls").where("label is not null").select("rec_id", "split", F.coalesce("text", F.lit("")).alias("text"), (F.col("label") + 1).cast("double").alias("y"))
     model = tfidf.linear_classifier(t.where("split = 'train'"), "text", "y")
-    test = t.where("split = 'test'").withColumn("grams", T.ngrams(F.col("text"), 2))
+    test = t.where("split = 'test'").withColumn("grams", tfidf.grams(F.col("text")))
     return model.transform(test).select("rec_id", F.col("y").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"))
 
 
 QUERIES = {f.__name__: f for f in (
     f1_text_fallback, f2_first_text, x1_strip_html, x2_clean_pages, x3_clean_lines, x4_languages, x6_file_dates, x7_sources, x8_chunks, x9_tables, x10_truncate,
     x12_direction, x13_routes, x15_heat, x18_present, x19_bigrams, x20_features, dt_event_time, d1_union, d2_first_by_id, d3_first_by_key, d4_content_hash,
-    d6_unique_ratio, k1_upsert, w4_ordinals, t2_topk, f13_filtered_topk, m16_normalised, l1_tfidf_idf, l1_tfidf_weights, l2_classifier)}
+    d6_unique_ratio, k1_upsert, w4_ordinals, t2_topk, f13_filtered_topk, m16_normalised, l1_tfidf_idf, l1_tfidf_weights, l1_tfidf_idf_2_4, l1_tfidf_weights_2_4, l2_classifier)}
 
 _FIRST = lambda cs: "coalesce(" + ", ".join(f"CASE WHEN lower(trim({c})) NOT IN ('', 'nan') THEN trim({c}) END" for c in cs) + ", '')"
 _STRIP = r"regexp_replace(coalesce({c}, ''), '^[\s\x{{0b}}\x{{85}}\p{{Z}}]+|[\s\x{{0b}}\x{{85}}\p{{Z}}]+$', '', 'g')"
