@@ -29,7 +29,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.near_texts(table(spark, d, "bert_finetune_cls"), coverage=True)[0]
+    return overlaps.coverage(table(spark, d, "bert_finetune_cls"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
