@@ -69,7 +69,34 @@ _LINES = r"""
        HAVING count(DISTINCT file) >= 5 AND count(DISTINCT file) * 100 >= 8 * files),
  f AS (SELECT citation_id, CAST(line_no AS INTEGER) AS line_no FROM t JOIN e USING (house, tpl))"""
 
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def _fold(c: str) -> str:
+    """Tags, entities of the tables, full-width signs, case, letters and digits: folding as far as the tables need it."""
+    c = f"regexp_replace({c}, '</?[A-Za-z][^<>]*>', '', 'g')"
+    for entity, sign in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        c = f"replace({c}, '&{entity};', '{sign}')"
+    return rf"regexp_replace(lower(translate({c}, '{_WIDE}', '{_NARROW}')), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+_NEAR = rf"""
+ r AS (SELECT rec_id, split, source, event_id, split = 'train' AS train, {_fold('text')} AS x FROM bert_finetune_cls WHERE split IN ('train', 'val', 'test')),
+ t AS (SELECT DISTINCT train, x, regexp_replace(x, '[^\p{{Nd}}]+', '', 'g') AS d, list_distinct(list_transform(generate_series(1, length(x) - 2), lambda i: substr(x, i, 3))) AS p FROM r WHERE length(x) >= 20),
+ near AS (SELECT a.x AS xa, b.x AS xb FROM t a JOIN t b ON a.train AND NOT b.train AND a.d = b.d
+          WHERE len(list_intersect(a.p, b.p)) >= 0.7 * (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))) - 1e-9),
+ pair AS (SELECT a.rec_id AS i, b.rec_id AS j FROM near JOIN r a ON a.train AND a.x = xa JOIN r b ON NOT b.train AND b.x = xb
+          UNION SELECT a.rec_id, b.rec_id FROM r a JOIN r b ON a.train AND NOT b.train AND a.event_id = b.event_id)"""
+
 SQL = {
+    "p5_found": f"WITH {_NEAR} SELECT least(i, j) AS rec_a, greatest(i, j) AS rec_b FROM pair",
+    "p5_report": f"WITH {_NEAR} SELECT split, source, count(*) AS records, count(*) FILTER (rec_id IN (SELECT j FROM pair)) AS overlapping FROM r WHERE NOT train GROUP BY split, source",
+    "p7_found": f"""
+WITH i AS (SELECT item_id, CASE WHEN lang = 'zh' THEN 24 ELSE 50 END AS n, {_fold('text')} AS x FROM eval_items),
+ w AS (SELECT DISTINCT item_id, n, substr(x, CAST(k AS BIGINT), n) AS s FROM i, LATERAL (SELECT unnest(generate_series(1, length(x) - n + 1)) AS k) u),
+ t AS (SELECT doc_id, {_fold('text')} AS x FROM documents),
+ v AS (SELECT DISTINCT doc_id, substr(x, CAST(k AS BIGINT), n) AS s FROM t, (VALUES (24), (50)) q(n), LATERAL (SELECT unnest(generate_series(1, length(x) - n + 1)) AS k) u)
+SELECT DISTINCT doc_id, item_id FROM v JOIN w USING (s)""",
     "p3_found": f"WITH {_LINES} SELECT * FROM f",
     "p3_cleaned": f"""
 WITH {_LINES},
