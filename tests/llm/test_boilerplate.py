@@ -57,3 +57,31 @@ def test_cleaned_keeps_line_ends(spark):
 
 def test_empty(spark):
     assert B.excessive_lines(_frame(spark, []).limit(0)).count() == 0
+
+
+def test_many_templates_meet_in_a_join(spark):
+    rows = [(i, f"keep {'x' * i}\nNotice {i}\nall 5% rights {i}.{i}", f"h/{i % 7}.pdf") for i in range(90)]
+    want = {tuple(r) for r in B.excessive_lines(_frame(spark, rows)).collect()}
+    assert {tuple(r) for r in B.excessive_lines(_frame(spark, rows), max_shipped=0).collect()} == want and len(want) == 180
+
+
+def test_tree():
+    t = B.Tree()
+    for file, line in ((1, "page 1 of 20"), (2, "page 17 of 3"), (2, "page 4 of 5"), (1, "page one of 20"), (3, "a"), (3, "in 2024 q1 rose 5% again")):
+        t.add("h", file, line)
+    got = {(n, *path): leaf for _, n, path, leaf in t.leaves()}
+    assert got == {
+        (4, "page", "0", "of"): {("0",): {1: 1, 2: 2}}, (4, "page", "one", "of"): {("0",): {1: 1}}, (1, "a"): {(): {3: 1}},
+        (6, "in", "0", "q0"): {("rose", "0%", "again"): {3: 1}}}
+
+
+def test_trees_are_handed_on(spark, monkeypatch):
+    """Trees that are grown anew within a partition merge to the same."""
+    rows = [(i, "Notice 12\nown line", f"h/{i}.pdf") for i in range(40)]
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "GROWN", 3)
+    one = [pa.RecordBatch.from_pydict({"house": ["h"], "file": pa.array([i], pa.int64()), "text": ["notice 12\nown line"]}) for i in range(9)]
+    out = [r for b in B._grow(iter(one)) for r in b.to_pylist()]
+    assert len(out) == 18 and {r["file"] for r in out} == set(range(9)) and len({r["template"] for r in out}) == 2
+    assert B.excessive_lines(_frame(spark, rows)).count() == 80
