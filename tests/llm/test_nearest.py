@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -9,9 +10,9 @@ from tideline.llm import nearest as N
 
 @given(st.sets(st.integers(0, 2**20), min_size=1, max_size=60), st.lists(st.integers(0, 2**20), min_size=1, max_size=60))
 def test_trie_finds_neighbours(keys, queries):
-    k = np.array(sorted(keys), np.int64) + (3 << N.BITS)
-    q = np.array(queries, np.int64) + (3 << N.BITS)
-    pred, succ = N.XFastTrie(k).neighbours(q)
+    k = np.array(sorted(keys), np.int64) + (3 << 31)
+    q = np.array(queries, np.int64) + (3 << 31)
+    pred, succ = N.XFastTrie(k, 31).neighbours(q)
     right = np.searchsorted(k, q, "right") - 1
     left = np.searchsorted(k, q, "left")
     assert pred.tolist() == right.tolist()
@@ -19,8 +20,8 @@ def test_trie_finds_neighbours(keys, queries):
 
 
 def test_groups_do_not_mix():
-    trie = N.XFastTrie(np.array([(1 << N.BITS) + 5, (3 << N.BITS) + 5], np.int64))
-    pred, succ = trie.neighbours(np.array([(2 << N.BITS) + 5, (1 << N.BITS) + 9], np.int64))
+    trie = N.XFastTrie(np.array([(1 << 31) + 5, (3 << 31) + 5], np.int64), 31)
+    pred, succ = trie.neighbours(np.array([(2 << 31) + 5, (1 << 31) + 9], np.int64))
     assert pred.tolist() == [-1, 0] and succ.tolist() == [-1, -1]
 
 
@@ -57,4 +58,8 @@ def test_ties_tolerance_and_empty(spark):
     r = [(7, "A", 90), (5, "A", 110), (4, "A", 90)]
     assert _pairs(spark, q, r, 10) == {(1, 4)}
     assert _pairs(spark, q, r, 890) == {(1, 4), (2, 5)}
+    day = 86_400_000_000
+    assert _pairs(spark, [(1, "A", 0), (2, "A", 40 * day)], [(3, "A", 9 * day), (4, "A", 51 * day + day // 2), (5, "A", -8 * day)], 10 * day) == {(1, 5)}
+    with pytest.raises(ValueError):
+        N.nearest(spark.createDataFrame([], "query_id bigint, entity string, at bigint"), spark.createDataFrame([], "record_id bigint, entity string, at bigint"), -1)
     assert _pairs(spark, [], r, 10) == set() and _pairs(spark, q, [], 10) == set()

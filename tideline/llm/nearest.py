@@ -10,8 +10,7 @@ All queries of a batch go through the search together.
 
 Records within the tolerance of a block's edge also stand in the neighbouring
 block, so one task answers each query. Blocks with very many queries are split
-by salt, with their records repeated; which ones they are is counted first, and
-there are at most rows / HOT of them.
+by salt, with their records repeated; which ones they are is counted first.
 
 Defined results: records without entity, time or value (null or NaN) are no
 candidates; queries without entity or time give no row; the tolerance is
@@ -29,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a block (2^30 us, about 18 minutes) and of the universe inside it.
-BLOCK_BITS, BITS = 30, 31
+from tideline.session import hot_keys
+
+#: Bits of a block (2^30 us, about 18 minutes), unless the tolerance needs a longer one.
+BLOCK_BITS = 30
 #: Queries of one (entity, block) above which it is salted.
 HOT = 200_000
 #: Rows gathered before complete groups are answered.
@@ -73,22 +74,22 @@ class PrefixTable:
 
 
 class XFastTrie:
-    """Keys: group number in the high bits, BITS bits of time below."""
+    """Keys: group number in the high bits, ``bits`` bits of time below."""
 
-    def __init__(self, keys: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, bits: int) -> None:
         """keys: sorted and unique."""
-        self.keys = keys
-        self.levels = [PrefixTable(keys >> (BITS - n)) for n in range(BITS + 1)]
+        self.keys, self.bits = keys, bits
+        self.levels = [PrefixTable(keys >> (bits - n)) for n in range(bits + 1)]
 
     def neighbours(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the last key <= q and the first key >= q of q's group; -1: none."""
-        lo, hi = np.full(len(q), -1), np.full(len(q), BITS)  # the longest known prefix; the longest possible
+        lo, hi = np.full(len(q), -1), np.full(len(q), self.bits)  # the longest known prefix; the longest possible
         node = np.full(len(q), -1, np.int64)
         while (on := lo < hi).any():
             mid = (lo + hi + 1) // 2
             for n in np.unique(mid[on]):
                 rows = np.flatnonzero(on & (mid == n))
-                at = self.levels[n].find(q[rows] >> (BITS - n))
+                at = self.levels[n].find(q[rows] >> (self.bits - n))
                 hit = at >= 0
                 lo[rows[hit]], node[rows[hit]] = n, at[hit]
                 hi[rows[~hit]] = n - 1
@@ -96,33 +97,33 @@ class XFastTrie:
         for n in np.unique(lo[lo >= 0]):
             rows = np.flatnonzero(lo == n)
             first, last = self.levels[n].first[node[rows]], self.levels[n].last[node[rows]]
-            if n == BITS:
+            if n == self.bits:
                 pred[rows] = succ[rows] = first
                 continue
-            right = ((q[rows] >> (BITS - n - 1)) & 1).astype(bool)
+            right = ((q[rows] >> (self.bits - n - 1)) & 1).astype(bool)
             # all keys below the node lie on one side of q
             pred[rows] = np.where(right, last, first - 1)
             succ[rows] = np.where(right, last + 1, first)
-        group = q >> BITS
+        group = q >> self.bits
         for side in (pred, succ):
             side[side >= len(self.keys)] = -1
             ok = side >= 0
-            side[ok & (self.keys[np.maximum(side, 0)] >> BITS != group)] = -1
+            side[ok & (self.keys[np.maximum(side, 0)] >> self.bits != group)] = -1
         return pred, succ
 
 
-def _answer(t: pa.Table, tolerance: int) -> pa.RecordBatch:
+def _answer(t: pa.Table, tolerance: int, bits: int) -> pa.RecordBatch:
     """t: complete groups, sorted by group, query flag, time, id."""
     group, is_q, at, ids = (t.column(c).to_numpy() for c in ("group", "is_query", "at", "id"))
     dense = np.cumsum(np.append(0, group[1:] != group[:-1]))
-    key = (dense.astype(np.int64) << BITS) | at
+    key = (dense.astype(np.int64) << bits) | at
     r, q = np.flatnonzero(is_q == 0), np.flatnonzero(is_q == 1)
     empty = np.empty(0, np.int64)
     if not len(r) or not len(q):
         return pa.RecordBatch.from_arrays([pa.array(empty), pa.array(empty)], ["query_id", "record_id"])
     first = np.append(True, key[r][1:] != key[r][:-1])  # the lowest id of equal times comes first
     r = r[first]
-    trie = XFastTrie(key[r])
+    trie = XFastTrie(key[r], bits)
     pred, succ = trie.neighbours(key[q])
     far = np.int64(1) << 62
     dp = np.where(pred >= 0, key[q] - key[r][np.maximum(pred, 0)], far)
@@ -132,7 +133,7 @@ def _answer(t: pa.Table, tolerance: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[q[ok]]), pa.array(ids[r[use[ok]]])], ["query_id", "record_id"])
 
 
-def _matcher(tolerance: int):
+def _matcher(tolerance: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -145,11 +146,11 @@ def _matcher(tolerance: int):
             g = t.column("group").to_numpy()
             whole = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
             if whole:
-                yield _answer(t.slice(0, whole), tolerance)
+                yield _answer(t.slice(0, whole), tolerance, bits)
             held = t.slice(whole).to_batches()
             rows = t.num_rows - whole
         if rows:
-            yield _answer(pa.Table.from_batches(held).combine_chunks(), tolerance)
+            yield _answer(pa.Table.from_batches(held).combine_chunks(), tolerance, bits)
 
     return run
 
@@ -158,17 +159,21 @@ def nearest(
     queries: DataFrame, records: DataFrame, tolerance_us: int,
 ) -> DataFrame:
     """(query_id, record_id) from queries (query_id, entity, at) and records
-    (record_id, entity, at); ``at`` is bigint microseconds."""
-    size = 1 << BLOCK_BITS
-    assert 0 <= tolerance_us <= size // 4
-    q = queries.where("query_id is not null and entity is not null and at is not null").withColumn("block", F.shiftright("at", BLOCK_BITS))
+    (record_id, entity, at); ``at`` is bigint microseconds.
+
+    Blocks are at least four tolerances long, so a record stands in two of them
+    at most; a negative tolerance is an error, one above 2^40 us (twelve days) too.
+    """
+    if not 0 <= tolerance_us <= 1 << 40:
+        raise ValueError("the tolerance must be between 0 and 2^40 microseconds")
+    block_bits = max(BLOCK_BITS, (4 * tolerance_us - 1).bit_length())
+    size = 1 << block_bits
+    q = queries.where("query_id is not null and entity is not null and at is not null").withColumn("block", F.shiftright("at", block_bits))
     r = records.where("record_id is not null and entity is not null and at is not null")
     r = r.groupBy("entity", "at").agg(F.min("record_id").alias("record_id"))
-    edges = [F.shiftright(F.col("at") + d, BLOCK_BITS) for d in (-tolerance_us, 0, tolerance_us)]
+    edges = [F.shiftright(F.col("at") + d, block_bits) for d in (-tolerance_us, 0, tolerance_us)]
     r = r.withColumn("block", F.explode(F.array_distinct(F.array(*edges))))
-    hot = q.groupBy("entity", "block").count().where(F.col("count") > HOT)
-    hot = hot.select("entity", "block", F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
-    hot = F.broadcast(hot)  # at most rows / HOT rows
+    hot = F.broadcast(hot_keys(q, ["entity", "block"], hot=HOT))  # fewer than session.HOT_KEYS rows
     q = q.join(hot, ["entity", "block"], "left").withColumn(
         "salt", F.pmod(F.xxhash64("query_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     r = r.join(hot, ["entity", "block"], "left").withColumn(
@@ -179,7 +184,7 @@ def nearest(
         r.select(*key, F.lit(0).cast("tinyint").alias("is_query"), inside, F.col("record_id").alias("id")))
     both = both.repartition(*key).sortWithinPartitions(*key, "is_query", "at", "id")
     both = both.select(F.concat_ws("\u0001", *key).alias("group"), "is_query", "at", "id")
-    return both.mapInArrow(_matcher(tolerance_us), "query_id bigint, record_id bigint")
+    return both.mapInArrow(_matcher(tolerance_us, block_bits + 1), "query_id bigint, record_id bigint")
 
 
 def micros(c: Column) -> Column:
