@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tideline.llm import tokens as T
@@ -32,6 +34,26 @@ def test_long_text_and_forgetting(both, monkeypatch):
     assert enc.encode(["x y z"]).to_pylist() == want(["x y z"])
 
 
+def test_long_words(both):
+    """Words of more than LONG bytes go place by place; the work stays linear."""
+    enc, want = both
+    rng = random.Random(3)
+    xs = ["".join(rng.choice(al) for _ in range(n)) for n in (63, 64, 65, 200, 3000) for al in ("abcdefghijklmnopqrstuvwxyz", "ab", "the andig", "中文字符市场", "e\u0301\u0300", "-=_")]
+    assert enc.encode(xs).to_pylist() == want(xs)
+    t = time.time()
+    enc.encode(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))])
+    enc.encode(["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300_000))])
+    assert time.time() - t < 10  # two seconds on an idle machine
+
+
+def test_pairs(both):
+    v = both[0].vocabulary
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3000, 4000), rng.integers(0, 3000, 4000)
+    want = v.compatible(a, b)
+    assert v._fits(a, b).tolist() == v._fits(a, b).tolist() == want.tolist() == [v._compatible_one(int(x), int(y)) for x, y in zip(a, b, strict=True)]
+
+
 def test_defined_cases_and_round_trip(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "hello <|endoftext|> 世界\n", 0), (4, " ", 0), (4, "again", 0)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")

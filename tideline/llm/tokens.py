@@ -1,15 +1,17 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, exactly.
 
-A word is encoded by backtracking: at each place the longest token that starts
-there is taken from an automaton of all tokens; it may follow the token before
-it only if the pair is compatible, that is if merging the two tokens' bytes by
-rank could not have joined them otherwise; if no prefix token fits, the place is
-marked as dead and the step before is taken back. Each place dies at most once,
-so the work is linear, and the result is what merging by rank gives.
-
-The words of a batch go through that search together, as arrays. A word that
-was encoded before is looked up. Decoding gathers the tokens' bytes through an
-offset table.
+An Aho-Corasick automaton of the reversed tokens runs over a word from its end:
+its failure links give the longest token that starts at each place in one pass.
+A word is then encoded by backtracking: at each place the longest token is tried
+first; it may follow the token before it only if the pair is compatible, that is
+if merging the two tokens' bytes by rank could not have joined them otherwise; if
+no prefix token fits, the place is marked as dead and the step before is taken
+back. Each place dies at most once, so the work is linear, and the result is what
+merging by rank gives. Which pairs are compatible is kept in a table.
+
+The short words of a batch go through both searches together, as arrays; words
+of more than LONG bytes go one by one. A word that was encoded before is looked
+up. Decoding gathers the tokens' bytes through an offset table.
 
 Defined results: an empty and a null text give the empty list; special tokens'
 strings are ordinary text; texts of any length are encoded whole; other columns
@@ -37,6 +39,10 @@ from tideline.session import spread
 VOCABULARIES = "/opt/tokenizers"
 #: Words kept from batch to batch; beyond that the table is begun anew.
 KEPT_WORDS = 300_000
+#: Bytes of a word from which it is encoded by itself.
+LONG = 64
+#: Cells of the table of compatible pairs, and pairs kept for long words.
+PAIR_CELLS, KEPT_PAIRS = 1 << 20, 1_000_000
 
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -103,7 +109,7 @@ def split_words(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
 
 
 class Vocabulary:
-    """Tokens as bytes, their automaton, and how each token was merged."""
+    """Tokens as bytes, their automaton, how each token was merged, and the pairs that may stand side by side."""
 
     def __init__(self, folder: str, name: str) -> None:
         with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
@@ -122,6 +128,9 @@ class Vocabulary:
                 if (p := rank.get(t[:k])) is not None:
                     self.shorter[i] = p
                     break
+        self.size_of, self.shorter_of = self.size.tolist(), self.shorter.tolist()
+        self.pair_key, self.pair_fits = np.full(PAIR_CELLS, -1, np.int64), np.zeros(PAIR_CELLS, bool)
+        self.pairs: dict[int, bool] = {}
         self._merges(rank, folder, name)
         self._automaton()
 
@@ -140,40 +149,61 @@ class Vocabulary:
             self.left[z], self.right[z] = x, y
             keys.append(x << 17 | y)
             made.append(z)
+        self.left_of, self.right_of, self.made_of = self.left.tolist(), self.right.tolist(), dict(zip(keys, made, strict=True))
         order = np.argsort(np.array(keys))
         self.pair, self.made = np.array(keys)[order], np.array(made)[order]
 
     def _automaton(self) -> None:
-        """Edges (state, byte) -> state, sorted for search; ``accept`` is a state's token."""
+        """States of the reversed tokens' trie: edges (state, byte) -> state, failure links, longest token that ends a state's path."""
         edge: dict[int, int] = {}
-        accept = [-1]
+        accept, parent, byte, depth = [-1], [0], [0], [0]
         for i, t in enumerate(self.bytes):
             s = 0
-            for b in t:
+            for b in reversed(t):
                 k = s << 8 | b
                 if (nxt := edge.get(k)) is None:
                     nxt = edge[k] = len(accept)
                     accept.append(-1)
+                    parent.append(s)
+                    byte.append(b)
+                    depth.append(depth[s] + 1)
                 s = nxt
-            accept[s] = i
+            if t:
+                accept[s] = i
         self.edge = np.array(sorted(edge), np.int64)
-        self.target = np.array([edge[k] for k in self.edge], np.int64)
-        self.accept = np.array(accept, np.int64)
-
-    def longest(self, text: np.ndarray, room: np.ndarray) -> np.ndarray:
-        """Longest token at each place of ``text`` that ends inside its word; ``room``: bytes left in the word."""
-        best = np.full(len(text), -1, np.int64)
-        at, state, depth = np.arange(len(text)), np.zeros(len(text), np.int64), 0
-        while len(at):
-            key = state << 8 | text[at + depth]
+        self.target = np.array([edge[k] for k in self.edge.tolist()], np.int64)
+        self.fail, self.out = np.zeros(len(accept), np.int64), np.array(accept, np.int64)
+        up, by, deep = np.array(parent), np.array(byte), np.array(depth)
+        for d in range(2, int(deep.max()) + 1):
+            at = np.flatnonzero(deep == d)
+            self.fail[at] = self._step(self.fail[up[at]], by[at])
+            self.out[at] = np.where(self.out[at] >= 0, self.out[at], self.out[self.fail[at]])
+        # the same for one word at a time
+        self.edge_of, self.fail_of, self.out_of = edge, self.fail.tolist(), self.out.tolist()
+
+    def _step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The automaton's next states: failure links are followed until one has the byte, or to the root."""
+        state, out = state.copy(), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state[todo] << 8 | byte[todo]
             i = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
             on = self.edge[i] == key
-            at, state = at[on], self.target[i[on]]
-            token = self.accept[state]
-            best[at[token >= 0]] = token[token >= 0]
-            depth += 1
-            more = room[at] > depth
-            at, state = at[more], state[more]
+            out[todo[on]] = self.target[i[on]]
+            todo = todo[~on & (state[todo] > 0)]
+            state[todo] = self.fail[state[todo]]
+        return out
+
+    def longest(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Longest token at each place of ``text`` that ends inside its word; the words go side by side, from their ends."""
+        best = np.full(len(text), -1, np.int64)
+        w = np.flatnonzero(size > 0)
+        at, state = begin[w] + size[w] - 1, np.zeros(len(w), np.int64)
+        while len(w):
+            state = self._step(state, text[at])
+            best[at] = self.out[state]
+            on = at > begin[w]
+            w, at, state = w[on], at[on] - 1, state[on]
         return best
 
     def _merged(self, a: np.ndarray, b: np.ndarray, none: int) -> np.ndarray:
@@ -206,13 +236,92 @@ class Vocabulary:
             at, a, b, limit = (x[~end] for x in (at, a, b, limit))
         return out
 
+    def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`compatible` through the table; a cell holds the pair that asked last."""
+        key = a << 17 | b
+        cell = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        miss = np.flatnonzero(self.pair_key[cell] != key)
+        out = self.pair_fits[cell]
+        if len(miss):
+            out[miss] = self.compatible(a[miss], b[miss])
+            # equal cells: the last one wins in both arrays
+            self.pair_key[cell[miss]] = key[miss]
+            self.pair_fits[cell[miss]] = out[miss]
+        return out
+
+    def _fits_one(self, a: int, b: int) -> bool:
+        key = a << 17 | b
+        got = self.pairs.get(key)
+        if got is None:
+            if len(self.pairs) > KEPT_PAIRS:
+                self.pairs.clear()
+            got = self.pairs[key] = self._compatible_one(a, b)
+        return got
+
+    def _compatible_one(self, a: int, b: int) -> bool:
+        """`compatible` of one pair."""
+        left, right, made, limit = self.left_of, self.right_of, self.made_of, len(self.bytes)
+        while True:
+            if made.get(a << 17 | b, limit) < limit:
+                return False
+            whole_a, whole_b = right[a] == a, left[b] == b
+            if whole_a and whole_b:
+                return True
+            if not whole_a and (a > b or whole_b):
+                a, limit = right[a], a
+            else:
+                b, limit = left[b], b + 1
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """Tokens of one word, place by place."""
+        edge, fail, out = self.edge_of, self.fail_of, self.out_of
+        best, state = [0] * len(word), 0
+        for i in range(len(word) - 1, -1, -1):
+            b = word[i]
+            while (nxt := edge.get(state << 8 | b)) is None and state:
+                state = fail[state]
+            state = nxt or 0
+            best[i] = out[state]
+        alive, stack, pos, token = bytearray(b"\x01") * (len(word) + 1), [], 0, best[0]
+        size, shorter = self.size_of, self.shorter_of
+        while pos < len(word):
+            end = pos + size[token]
+            if alive[end] and (not stack or self._fits_one(stack[-1], token)):
+                stack.append(token)
+                pos = end
+                if pos < len(word):
+                    token = best[pos]
+            elif shorter[token] >= 0:
+                token = shorter[token]
+            else:  # nothing fits: the place is dead, the token before is taken back
+                alive[pos] = 0
+                token = stack.pop()
+                pos -= size[token]
+        return stack
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words in a row, and their number in each word."""
+        long_ = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long_:
+            return self._encode_short(words)
+        parts = {i: np.array(self.encode_long(words[i]), np.int32) for i in long_}
+        short = np.array([i for i in range(len(words)) if i not in parts], np.int64)
+        ids, n = self._encode_short([words[i] for i in short])
+        count = np.zeros(len(words), np.int64)
+        count[short] = n
+        count[long_] = [len(parts[i]) for i in long_]
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        out[np.repeat(begin[short] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        for i, p in parts.items():
+            out[begin[i] : begin[i] + len(p)] = p
+        return out, count
+
+    def _encode_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, words), np.int64, len(words))
         text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
         begin = np.cumsum(size) - size
-        room = np.repeat(begin + size, size) - np.arange(len(text))
-        best = self.longest(text, room)
+        best = self.longest(text, begin, size)
         # places, one more a word for its end
         alive = np.ones(len(text) + len(words), bool)
         base = begin + np.arange(len(words))
@@ -228,7 +337,7 @@ class Vocabulary:
             again = ok & (depth[w] > 0)
             if again.any():
                 v = w[again]
-                ok[again] = self.compatible(stack[begin[v] + depth[v] - 1], t[again])
+                ok[again] = self._fits(stack[begin[v] + depth[v] - 1], t[again])
             v, tv, ev = w[ok], t[ok], end[ok]
             stack[begin[v] + depth[v]] = tv
             depth[v] += 1
