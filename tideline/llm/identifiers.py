@@ -1,13 +1,22 @@
 """Personal information inside free text, found and replaced.
 
 Addresses of e-mail, telephone numbers and identity numbers have shapes that
-decide by themselves (identity numbers with their check characters). Names and
-street addresses are found by bootstrapping: seed entities (the parts of names
-that are known; streets that stand before a town) show the lexical patterns
-around them; patterns and instances form a bipartite graph that is scored in
-rounds: a pattern is as good as the instances it holds, an instance as good as
-its best pattern; the patterns that end with a high score discover identifiers
-that no seed knows.
+decide by themselves (identity numbers with their check characters), and so have
+Chinese and German street addresses. Names and other street addresses are found
+by bootstrapping: seed entities (the parts of names that are known; streets that
+stand before a town) show the lexical patterns around them; patterns and
+instances form a bipartite graph that is scored in rounds: a pattern is as good
+as the instances it holds, an instance as good as its best pattern; the patterns
+that end with a high score discover identifiers that no seed knows, and those
+that end with a low one take back a name of which a seed knows only a part.
+
+Which capital words are no part of a name is learned too, from the whole corpus:
+words that also stand in lower case in several surroundings, words that stand
+before whole names rather than before a part of one, and words that end two-word spans whose other words the seeds know far less often than they know
+the partners of names (the words that end firms' names). A word the seeds know,
+or one that stands beside known parts as often as names do, is no such word. Only
+closed classes are given: titles, pronouns, articles, prepositions, months and
+days, legal forms of firms, and words that end a street's name.
 
 Chinese names have no capital letters, so their patterns are induced from seed
 surnames in a first pass; the second pass proposes every instance of any kind
@@ -18,13 +27,15 @@ surnames, or one that is mostly followed by such characters, or stands mostly in
 their patterns; it ends them if it stands mostly between them and the right side
 of a pattern.
 
-What is sent to the tasks is bounded: the seed list (at most MAX_SEEDS parts)
-and the patterns (at most MAX_PATTERNS), both checked, and characters.
+What is sent to the tasks is bounded and checked: the seed list (at most MAX_SEEDS
+parts), the patterns (at most MAX_PATTERNS), the learned words (at most MAX_WORDS,
+eight bytes each), and characters. Beyond a bound the query stops with an error.
 
 Defined results: null and empty texts hold nothing; a value is reported once a
 document and kind, exactly as written; repeated documents are all reported;
 without seeds no name is found by seed, only shapes and streets; other columns
-are not looked at.
+are not looked at. Where two kinds claim the same characters the first of
+e-mail, number, address, name has them.
 """
 
 from __future__ import annotations
@@ -34,16 +45,23 @@ import unicodedata
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import cut, spread
+from tideline.session import cut, salted_join, spread
 
 MAX_SEEDS = 100_000
 MAX_PATTERNS = 200_000
+MAX_WORDS = 5_000_000
 #: Distinct instances a pattern needs, the rounds of scoring, and the score that counts.
 SUPPORT, ROUNDS, ACCEPT, ACCEPT_CAPITALS = 3, 3, 0.5, 0.85
+#: Score of all its patterns below which a name that is known by one part only is taken back.
+REJECT = 0.1
+#: Known partners of a word that are too few: under this share of what a name's partners would be, and so many deviations below.
+TOO_FEW, DEVIATIONS = 0.25, 2.8
 
 # ---- shapes -----------------------------------------------------------------
 
@@ -118,10 +136,14 @@ def numbers(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def roads(text: str) -> Iterator[tuple[int, int]]:
-    """Road name and house number: up to six characters to the left that belong to no town or district."""
+    """Road name and house number: what stands behind the last town, district or preposition.
+
+    A sign of a town right before the word for road is the road's own (苏州路).
+    """
     for m in _ROAD.finditer(text):
-        if left := _ROAD_NAME.search(text, max(0, m.start() - 6), m.start()):
-            yield left.start(), m.end()
+        near = re.search(rf"{_HAN}{{1,12}}\Z", text[max(0, m.start() - 12) : m.start()])
+        if near and (name := _ROAD_NAME.match(near[0])):
+            yield m.start() - len(name[1]), m.end()
 
 
 def resident_number(v: str) -> bool:
@@ -142,31 +164,26 @@ _STREETS = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Close|Crescent|Cres|Wa
 _STREET = re.compile(rf"(?<![\w.,\-/])\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}})? ((?:[A-Z][\w'’\-]+ ){{1,3}}?(?:{_STREETS}))\b(?! (?:{_STREETS})\b)")
 _STRASSE = re.compile(r"(?<!\w)([A-ZÄÖÜ][\wäöüß\-]{0,40}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|ring|damm|steig|markt|chaussee)|[A-ZÄÖÜ][\wäöüß\-]+ (?:Straße|Str\.|Weg|Gasse|Platz|Allee|Ring|Damm)) \d{1,4} ?[a-z]?(?![\w])")
 _ROAD = re.compile(r"(?:大道|大街|路|街|巷|胡同|弄|里|道)[0-9０-９]{1,5}(?:[-－][0-9０-９]{1,5})?号")
-_ROAD_NAME = re.compile(r"(?:(?![市区县镇乡省州])[一-鿿]){1,6}\Z")
+#: Signs that end a province, town or district, and words that stand before a place.
+_ROAD_NAME = re.compile(r"(?:.*(?:[市区县镇乡省州](?=.)|位于|在|于|到|至|往|从|住|址))?([一-鿿]{1,12})\Z", re.S)
 
 _TOWN = re.compile(r", ([A-Z][\w'’\-]+)")
 
-#: Words that end the name of a firm; the capital word before one is the firm's.
-_FIRM = frozenset("bank capital energy foods grid holdings metals mining partners refining shipping steel group company inc ltd plc llc corp ag gmbh".split())
-#: Words with a capital letter that are no part of a person's name: titles, roles, words that
-#: end a firm's or street's name, and words that begin sentences and headings.
+#: Fixed values, closed classes only: titles, articles, prepositions, pronouns, days, months, legal forms of firms, parts of an address, labels of contact lines.
 _NO_NAME = frozenset(
-    "mr mrs ms miss dr prof sir herr herrn frau analyst analysten economist trader reporter editor chairman director by from to contact client "
-    "subscriber author autor autorin von an tel telefon mobil fax e t email mail ssn nino prepared the a an and or for of in on at "
-    "bank capital energy foods grid holdings metals mining partners refining shipping steel group company inc ltd plc llc corp ag gmbh trust fund "
-    "funds securities insurance airlines motors index desk street st road rd avenue ave lane ln drive dr close crescent cres way court ct place pl "
-    "square sq terrace boulevard blvd gardens grove row mews parade walk hill flat unit apt suite monday tuesday wednesday thursday friday saturday sunday january "
-    "february march april may june july august september october november december percent prozent stück bitte sie weekly daily metals "
-    "redaktion kontakt rückfragen presse press editors office enquiries questions statements complaint "
-    "note review comment reply kind regards anschrift adresse address quote range ticket follow see send flash update breaking it its "
-    "this that these those we they he she i there here when where while after before during since q der die das den dem des ein eine".split()
+    "mr mrs ms miss dr prof sir herr herrn frau the a an and or for of in on at by from to von an der die das den dem des ein eine "
+    "this that these those it its we they he she i i'll i'm i've i'd there here when where while after before during since q "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
+    "group company inc ltd plc llc corp ag gmbh holdings flat unit apt suite tel telefon phone mobile mobil fax email mail".split()
 )
 _STREET_ENDS = frozenset(_STREETS.lower().split("|"))
+_NO_NAME |= _STREET_ENDS
 _LETTER = "[^\\W\\d_]"
 _CAP = f"(?:[A-ZÀ-ÖØ-ÞĀ-Ž]['’])?[A-ZÀ-ÖØ-ÞĀ-Ž](?:{_LETTER}|[̀-ͯ'’])+(?:-(?:[A-ZÀ-ÖØ-ÞĀ-Ž]['’])?[A-ZÀ-ÖØ-ÞĀ-Ž](?:{_LETTER}|[̀-ͯ'’])+)*"
 _WORD = re.compile(rf"(?<![\w@.])(?:{_CAP}(?![\w@])|[A-Z]\.(?=[  ]))")
 _GAP = re.compile(r"[  ]{1,3}\Z")
 _COMMA = re.compile(r",[  ]{1,2}\Z")
+_LISTED = re.compile(r",\s{1,2}[A-ZÀ-ÖØ-ÞĀ-Ž]")
 _TOKEN = re.compile(r"\n|[^\W_]+(?:['’\-][^\W_]+)*|[^\s\w]|_")
 _HAN = "[一-鿿]"
 
@@ -190,23 +207,62 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return ["l " + " ".join(left), "r " + " ".join(right), "b " + " ".join((*left[-1:], "|", *right[:1]))]
 
 
-def latin_names(text: str, known: frozenset[str], places: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, int, str, int]]:
-    """(start, end, key, known parts) of spans that are written like a full name.
+class Words:
+    """Capital words that are no part of a name: the closed classes and the learned ones, as sorted hashes."""
 
-    ``places``: where a town begins that follows a street.
-    """
+    def __init__(self, known: frozenset[str], common: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
+        none = np.empty(0, np.uint64)
+        self.known, self.common, self.ends = known, none if common is None else common, none if ends is None else ends
+        self.asked: dict[str, tuple[bool, bool]] = {}
+
+    def of(self, word: str) -> tuple[bool, bool]:
+        """(no part of a name, ends the name of a firm or street) of a lower-case word."""
+        got = self.asked.get(word)
+        if got is None:
+            if len(self.asked) > 500_000:
+                self.asked.clear()
+            h = np.uint64(_word_hash(word))
+            ends = word in _STREET_ENDS or _has(self.ends, h)
+            stop = ends or word in _NO_NAME or _has(self.common, h)
+            # a part the seeds know is a name's, whatever else it may be; a street's or firm's end is told by the word before it
+            got = self.asked[word] = (stop and not all(p in self.known for p in part_key(word)), ends)
+        return got
+
+
+def _has(table: np.ndarray, h: np.uint64) -> bool:
+    i = int(np.searchsorted(table, h))
+    return i < len(table) and bool(table[i] == h)
+
+
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def capital_runs(text: str, words: Words) -> list[list[re.Match]]:
+    """Capital words that stand side by side, without those that are no part of a name."""
     runs: list[list[re.Match]] = []
     for m in _WORD.finditer(text):
-        stop = m[0].lower().rstrip(".") in _NO_NAME and not (len(m[0]) == 2 and m[0][1] == ".")
+        initial = len(m[0]) == 2 and m[0][1] == "."
+        stop, ends = (False, False) if initial else words.of(m[0].lower().rstrip("."))
+        beside = bool(runs and runs[-1] and _GAP.match(text, runs[-1][-1].end(), m.start()))
         if stop:
-            word = m[0].lower()
-            if runs and runs[-1] and (word in _FIRM or word in _STREET_ENDS) and _GAP.match(text, runs[-1][-1].end(), m.start()):
+            if ends and beside:
                 runs[-1].pop()
             runs.append([])
-        elif runs and runs[-1] and _GAP.match(text, runs[-1][-1].end(), m.start()):
+        elif beside:
             runs[-1].append(m)
         else:
             runs.append([m])
+    return runs
+
+
+def latin_names(text: str, words: Words, places: frozenset[int] | set[int] = frozenset()) -> list[tuple[int, int, str, int]]:
+    """(start, end, key, known parts) of spans that are written like a full name.
+
+    ``places``: where a town begins that follows a street.
+    """
+    known = words.known
+    runs = capital_runs(text, words)
     out = []
 
     def offer(ms: list[re.Match]) -> None:
@@ -238,7 +294,8 @@ def latin_names(text: str, known: frozenset[str], places: frozenset[int] | set[i
         score = lambda u: sum(p in known for m in u for p in part_key(m[0].rstrip(".")))
         if run[0].start() in places:  # the town after a street
             units = [u for u in units if u[0] is not run[0]]
-        for u in sorted(units, key=lambda u: (-score(u), -len(u), -u[0].start() if len(run) == 3 else u[0].start())):
+        initial = lambda u: u[0] is run[0] and u[0][0][-1] == "."
+        for u in sorted(units, key=lambda u: (-score(u), not initial(u), -len(u), -u[0].start() if len(run) == 3 else u[0].start())):
             if all(u[-1].end() <= b[0].start() or u[0].start() >= b[-1].end() for b in best):
                 best.append(u)
         for u in best:
@@ -261,19 +318,82 @@ def _edge(s: str, side: int) -> str:
     return "9" if x.isdigit() else x
 
 
-def _seed_contexts(surnames: frozenset[str]):
+_LOWER = re.compile(r"(?<![^\s(])[a-zß-öø-ÿ]{2,40}(?=[\s,.;:!?)])(?!\s?[\[({@＠])")
+#: Surroundings of a lower-case word are told apart by so many classes of the word before it.
+_CLASSES = 16
+
+
+def _evidence(surnames: frozenset[str], known: frozenset[str]):
+    """First pass, distinct rows (k, c, l, after) of a batch.
+
+    k = z: seed surname, sign on the left, what follows. k = w: the two words of a span of two capital words.
+    k = o: an unknown capital word, and the two after it of which one is known. k = l: lower-case word, class of the word before it.
+    """
     find = re.compile("[" + "".join(sorted(surnames)) + f"](?={_HAN})") if surnames else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(known)
         for b in batches:
-            name, left, right = [], [], []
-            for t in b.column("text").to_pylist() if find else ():
-                for m in find.finditer(t):
+            rows: set[tuple[str, str, str, str]] = set()
+            for t in b.column("text").to_pylist():
+                for m in find.finditer(t) if find else ():
                     k = m.start()
-                    name.append(t[k])
-                    left.append(_edge(t[max(0, k - 4) : k], -1))
-                    right.append(t[k + 1 : k + 8])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (name, left, right)], ["c", "l", "after"])
+                    rows.add(("z", t[k], _edge(t[max(0, k - 4) : k], -1), t[k + 1 : k + 8]))
+                for r in capital_runs(t, words):
+                    # before a comma and a capital word the last word may begin a name of its own
+                    if len(r) == 2 and r[0][0][-1] != "." and r[1][0][-1] != "." and not _LISTED.match(t, r[1].end()):
+                        rows.add(("w", r[0][0].lower(), r[1][0].lower(), ""))
+                    for x, *rest in zip(r, r[1:], r[2:]):
+                        if x[0][-1] != "." and all(y[0][-1] != "." for y in rest):
+                            name = [y[0].lower().rstrip(".") for y in rest]
+                            if any(p in known for y in name for p in part_key(y)) and not all(p in known for p in part_key(x[0])):
+                                rows.add(("o", x[0].lower(), " ".join(name), ""))
+                before = ""
+                for m in _LOWER.finditer(t):
+                    rows.add(("l", m[0], str(_word_hash(before) % _CLASSES), ""))
+                    before = m[0]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in cols], ["k", "c", "l", "after"])
+
+    return run
+
+
+def learned_words(evidence: DataFrame, known: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words that also stand in lower case or before whole names, and of those that end names of firms."""
+    spans = evidence.where("k = 'w'").select(F.col("c").alias("a"), F.col("l").alias("b"))
+    once = spans.select(F.explode(F.array("a", "b")).alias("w")).distinct().mapInArrow(_flag_known(known), "w string, known boolean")
+    a, b = once.select(F.col("w").alias("a"), F.col("known").alias("ka")), once.select(F.col("w").alias("b"), F.col("known").alias("kb"))
+    spans = cut(salted_join(salted_join(spans, a, ["a"], F.xxhash64("b")), b, ["b"], F.xxhash64("a")))
+    # how many partners of a known last word the seeds know: what a name's partners would be
+    base = spans.where("kb").agg(F.avg(F.col("ka").cast("double")).alias("c")).first()["c"] or 0.0
+    last = spans.groupBy("b").agg(F.count("*").alias("n"), F.count_if("ka").alias("hit"), F.first("kb").alias("kb"))
+    expected = F.col("n") * base
+    few = (F.col("hit") <= expected * TOO_FEW) & (F.col("hit") < expected - DEVIATIONS * F.sqrt(expected))
+    ends = last.where(~F.col("kb") & few).select(F.col("b").alias("w"))
+    # words in lower case, unless they stand beside known parts as names do
+    both = spans.select(F.col("a").alias("w"), F.col("kb").alias("hit")).unionAll(spans.select(F.col("b").alias("w"), F.col("ka").alias("hit")))
+    beside = both.groupBy("w").agg(F.count("*").alias("n"), F.count_if("hit").alias("hit")).where(
+        (F.col("hit") >= SUPPORT) & (F.col("hit") >= F.col("n") * max(base * ACCEPT, 0.01))).select("w")
+    common = evidence.where("k = 'l'").groupBy(F.col("c").alias("w")).agg(F.count_distinct("l").alias("n")).where(F.col("n") >= SUPPORT)
+    # words before whole names more often than before a known part alone: roles
+    whole = evidence.where("k = 'o'").groupBy(F.col("c").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    alone = spans.where("kb").groupBy(F.col("a").alias("w")).agg(F.count("*").alias("alone"))
+    roles = whole.join(alone, "w", "left").where(F.col("n") > F.coalesce("alone", F.lit(0))).select("w")
+    common = common.select("w").join(beside, "w", "left_anti").unionAll(roles).distinct()
+    out = []
+    for words in (common, ends):
+        rows = words.limit(MAX_WORDS + 1).toArrow().column("w").to_pylist()
+        if len(rows) > MAX_WORDS:
+            raise ValueError(f"more than {MAX_WORDS} words that are no names; they are shipped to every task")
+        out.append(np.sort(np.fromiter(map(_word_hash, rows), np.uint64, len(rows))))
+    return out[0], out[1]
+
+
+def _flag_known(known: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flags = [all(p in known for p in part_key(w)) for w in b.column("w").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("w"), pa.array(flags, pa.bool_())], ["w", "known"])
 
     return run
 
@@ -372,63 +492,61 @@ def _windows(first: str, second: str, patterns: frozenset[tuple[str, str]]):
 
 # ---- passes -----------------------------------------------------------------
 
-_PROPOSED = "doc_id bigint, kind string, value string, sure boolean, key string, seed boolean, patterns array<string>"
+_PROPOSED = "doc_id bigint, kind string, value string, sure boolean, key string, seed int, patterns array<string>, at array<int>"
 
 
-def _propose(known: frozenset[str], surnames: frozenset[str], first: str, second: str, patterns: frozenset[tuple[str, str]]):
+def _propose(words: Words, surnames: frozenset[str], first: str, second: str, patterns: frozenset[tuple[str, str]]):
     if first:
         # every Chinese character before one or two given-name characters, as far right as they go
         zh = re.compile(f"(?=({_HAN}[{first}][{second}]?))")
 
-    def of(text: str) -> list[tuple[str, str, bool, str, bool, list[str]]]:
-        found: dict[tuple[str, str], tuple] = {}
-        taken: list[tuple[int, int]] = []
+    def of(text: str) -> list[list]:
+        # sure, key, seed (0: unknown, 1: a part is known, 2: all are), patterns, places
+        found: dict[tuple[str, str], list] = {}
+        taken = bytearray(len(text))
         places: set[int] = set()
 
-        def sure(kind: str, a: int, b: int) -> None:
-            found[kind, text[a:b]] = (True, None, False, [])
-            taken.append((a, b))
+        def offer(kind: str, a: int, b: int, sure: bool, key: str | None, seed: int, patterns: list[str], take: bool = True) -> None:
+            old = found.setdefault((kind, text[a:b]), [sure, key, 0, [], []])
+            old[2] = max(old[2], seed)
+            old[3] += patterns
+            old[4].append(a)
+            if take:
+                taken[a:b] = b"\x01" * (b - a)
 
-        free = lambda a, b: all(b <= x or a >= y for x, y in taken)
+        free = lambda a, b: taken.find(1, a, b) < 0
         for a, b in emails(text):
-            sure("email", a, b)
+            offer("email", a, b, True, None, 0, [])
         for kind, a, b in numbers(text):
             if free(a, b):
-                sure(kind, a, b)
-        for a, b in roads(text):
+                offer(kind, a, b, True, None, 0, [])
+        for a, b in (*roads(text), *(m.span() for m in _STRASSE.finditer(text))):
             if free(a, b):
-                sure("address", a, b)
-        for m in _STRASSE.finditer(text):
-            if free(*m.span()):
-                sure("address", *m.span())
+                offer("address", a, b, True, None, 0, [])
         for m in _STREET.finditer(text):
             town = _TOWN.match(text, m.end())
             if town:
                 places.add(town.start(1))
-            old = found.get(("address", m[0]))
-            p = contexts(text, m.start(), m.end())
-            found["address", m[0]] = (False, "a " + m[1].lower(), bool(town) or bool(old and old[2]), ["a" + x for x in p] + (old[3] if old else []))
-            taken.append(m.span())
-        for s, e, key, n in latin_names(text, known, places):
+            offer("address", *m.span(), False, "a " + m[1].lower(), 2 if town else 0, ["a" + x for x in contexts(text, *m.span())])
+        for s, e, key, n in latin_names(text, words, places):
             if free(s, e):
-                old = found.get(("name", text[s:e]))
                 kind_of = "c" if text[s:e].isupper() else "n"  # capitals have patterns of their own
-                found["name", text[s:e]] = (False, "n " + key, n > 0, [kind_of + x for x in contexts(text, s, e)] + (old[3] if old else []))
+                offer("name", s, e, False, "n " + key, min(2, n) if n < 2 or n >= len(key.split()) else 1, [kind_of + x for x in contexts(text, s, e)], False)
         if first:
             end = -1
             for s, e, key, p, n in chinese_names(text, zh, patterns, surnames):
                 if s >= end:
                     end = e
-                    old = found.get(("name", text[s:e]))
-                    found["name", text[s:e]] = (False, "z " + key, n > 0, [p] + (old[3] if old else []))
-        return [(k, v, *x) for (k, v), x in found.items()]
+                    if free(s, e):
+                        offer("name", s, e, False, "z " + key, 2 * n, [p], False)
+        return [[k, v, *x] for (k, v), x in found.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
         for b in batches:
             rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in of(t)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "kind", "value", "sure", "key", "seed", "patterns"])
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "kind", "value", "sure", "key", "seed", "patterns", "at"])
 
     return run
 
@@ -436,22 +554,24 @@ def _propose(known: frozenset[str], surnames: frozenset[str], first: str, second
 def scored(proposed: DataFrame) -> DataFrame:
     """(pattern, score): the bipartite graph of patterns and instances, scored in rounds."""
     edges = proposed.where("not sure").select("key", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
-    edges = cut(edges.groupBy("key", "pattern").agg(F.max("seed").alias("seed")))
+    edges = cut(edges.groupBy("key", "pattern").agg((F.max("seed") > 0).alias("seed")))
     worth = edges.groupBy("key").agg(F.max("seed").cast("double").alias("worth"))
     for i in range(ROUNDS):
-        score = edges.join(worth, "key").groupBy("pattern").agg(F.avg("worth").alias("score"), F.count("*").alias("n"))
+        # a key or a pattern may hold a third of all edges: keys spread by pattern, the table of keys has each once
+        held = salted_join(edges, worth, ["key"], F.xxhash64("pattern"))
+        score = held.groupBy("pattern").agg(F.avg("worth").alias("score"), F.count("*").alias("n"))
         # a Chinese pattern holds few surnames; one with a seed among them counts
         score = score.where((F.col("n") >= SUPPORT) | F.col("pattern").startswith("zh ")).select("pattern", "score")
         if i == ROUNDS - 1:
-            return score
-        best = edges.join(score, "pattern").groupBy("key").agg(F.max("score").alias("best"))
+            return cut(score)
+        best = salted_join(edges, score, ["pattern"], F.xxhash64("key")).groupBy("key").agg(F.max("score").alias("best"))
         worth = worth.join(best, "key", "left").select("key", F.greatest("worth", F.coalesce("best", F.lit(0.0))).alias("worth"))
         worth = cut(worth)
     return score
 
 
-def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc_id, kind, found_value), distinct."""
+def _learned(docs: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Words, frozenset[str], str, str, frozenset[tuple[str, str]]]:
+    """What the passes before the last one learn: words, surnames, characters of given names, patterns."""
     d = spread(docs.where("length(text) > 0").select("doc_id", "text"), "doc_id")
     rows = seeds.where("name_part is not null").select("name_part", "name_kind").distinct().limit(MAX_SEEDS + 1).collect()
     if len(rows) > MAX_SEEDS:
@@ -459,7 +579,9 @@ def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     known = frozenset(p for r in rows for p in part_key(r.name_part))
     surnames = frozenset(r.name_part for r in rows if r.name_kind == "family" and re.fullmatch(_HAN, r.name_part))
 
-    around = cut(d.select("text").mapInArrow(_seed_contexts(surnames), "c string, l string, after string").distinct())
+    evidence = cut(d.select("text").mapInArrow(_evidence(surnames, known), "k string, c string, l string, after string").distinct())
+    words = Words(known, *learned_words(evidence, known))
+    around = evidence.where("k = 'z'").select("c", "l", "after")
     first, second = given_names(around)
     patterns: frozenset[tuple[str, str]] = frozenset()
     if first:
@@ -473,30 +595,55 @@ def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         seen = d.select("text").where(F.col("text").rlike(_HAN)).mapInArrow(_windows(first, second, patterns), "c string, p string, w string").distinct()
         seen = seen.groupBy("c").agg(F.count("*").alias("all"), F.count("p").alias("hit"), F.count_distinct("p").alias("kinds"))
         surnames |= {r.c for r in seen.where((F.col("kinds") >= SUPPORT) & (F.col("hit") >= ACCEPT * F.col("all"))).select("c").collect()}
+    return d, words, surnames, first, second, patterns
 
-    proposed = cut(d.mapInArrow(_propose(known, surnames, first, second, patterns), _PROPOSED))
+
+def spans(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, kind, value, at, how): values of each document with their places; how: shape, pattern or seed."""
+    d, *learned = _learned(docs, seeds)
+    proposed = cut(d.mapInArrow(_propose(*learned), _PROPOSED))
+    score = scored(proposed)
+    sure = proposed.where("sure").select("doc_id", "kind", "value", "at", F.lit("shape").alias("how"))
+    rest = proposed.where("not sure").withColumn("row", F.xxhash64("doc_id", "kind", "value"))
     # words in capitals are often no names: their patterns need a higher score
-    good = scored(proposed).where(F.col("score") >= F.when(F.col("pattern").startswith("c"), ACCEPT_CAPITALS).otherwise(ACCEPT)).select("pattern")
-    open_ = proposed.where("not sure")
-    by_pattern = open_.select("doc_id", "kind", "value", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
-    by_seed = open_.where("seed")
-    out = proposed.where("sure").select("doc_id", "kind", "value").unionAll(by_pattern.select("doc_id", "kind", "value")).unionAll(by_seed.select("doc_id", "kind", "value"))
-    return out.distinct().withColumnRenamed("value", "found_value")
+    enough = F.when(F.col("pattern").startswith("c"), ACCEPT_CAPITALS).otherwise(ACCEPT)
+    held = salted_join(rest.select("row", F.explode(F.array_distinct("patterns")).alias("pattern")), score, ["pattern"], F.xxhash64("row"))
+    held = held.groupBy("row").agg(F.max("score").alias("best"), F.max((F.col("score") >= enough).cast("int")).alias("good"))
+    j = rest.join(held, "row", "left")
+    # a name of which one part is known stands unless all its patterns speak against it
+    how = F.when(F.col("good") == 1, "pattern").when(F.col("seed") == 2, "seed").when((F.col("seed") == 1) & (F.coalesce("best", F.lit(1.0)) >= REJECT), "seed")
+    open_ = j.withColumn("how", how).where("how is not null").select("doc_id", "kind", "value", "at", "how")
+    return sure.unionAll(open_)
+
+
+def found(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, kind, found_value), distinct."""
+    return spans(docs, seeds).select("doc_id", "kind", F.col("value").alias("found_value")).distinct()
 
 
-def redacted(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """(doc_id, text) of every row, values replaced by <EMAIL>, <PHONE>, <ID_NUMBER>, <ADDRESS> or <NAME>."""
-    per = values.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "found_value")).alias("hits"))
-    both = docs.select("doc_id", "text").join(per, "doc_id", "left")
+def redacted(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, text) of every row, what was found replaced at its places by <EMAIL>, <PHONE>, <ID_NUMBER>, <ADDRESS> or <NAME>.
+
+    Where two spans overlap the earlier one counts, of two that begin together the longer.
+    Documents of one id are taken apart by their texts, as their places differ.
+    """
+    d = docs.select("doc_id", "text").withColumn("__doc", F.xxhash64("doc_id", "text"))
+    once = d.where("length(text) > 0").select(F.col("__doc").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    hits = spans(once, seeds).select(F.col("doc_id").alias("__doc"), "kind", F.length("value").alias("n"), F.explode("at").alias("at"))
+    per = hits.groupBy("__doc").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "kind"))).alias("hits"))
+    both = d.join(per, "__doc", "left").select("doc_id", "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, hits in zip(b.column("text").to_pylist(), b.column("hits").to_pylist(), strict=True):
                 if t and hits:
-                    kind = {h["found_value"]: h["kind"] for h in hits}
-                    any_ = re.compile("|".join(map(re.escape, sorted(kind, key=len, reverse=True))))
-                    t = any_.sub(lambda m, kind=kind: f"<{kind[m[0]].upper()}>", t)
+                    parts, end = [], 0
+                    for h in hits:
+                        if h["at"] >= end:
+                            parts += [t[end : h["at"]], f"<{h['kind'].upper()}>"]
+                            end = h["at"] - h["less"]
+                    t = "".join([*parts, t[end:]])
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 

@@ -54,7 +54,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return identifiers.redacted(docs, identifiers.found(docs, table(spark, d, "name_list")))
+    return identifiers.redacted(docs, table(spark, d, "name_list"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_cleaned, p4_found, p5_found, p5_report, p5_coverage, p6_ids, p6_decoded, p7_found, p7_report, p8_found, p8_redacted)}
