@@ -1,5 +1,7 @@
 from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import instants as I
@@ -59,6 +61,24 @@ def test_against_the_session_library(spark):
         assert _run(spark, v, zone) == [r.u for r in want]
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Europe/London", "Africa/Casablanca", "Australia/Lord_Howe", "Asia/Shanghai", "Europe/Dublin"])
+def test_years_far_away(spark, zone):
+    """Every year there is, against the library's zone rules."""
+    years = [1, 1492, 1799, 1800, 1848, 1883, 1890, 1901, 1918, 1941, 1945, 1969, 1970, 2037, 2038, 2069, 2070, 2087, 2088, 2100, 2127, 2128, 2129, 2156, 2200, 2299, 2304, 2399, 2400, 2401, 9999]
+    at = [datetime(y, m, d, h, 30) for y in years for m, d in ((1, 1), (3, 10), (3, 28), (4, 3), (7, 1), (10, 27), (11, 3), (12, 31)) for h in (0, 1, 2, 23)]
+    z, epoch = ZoneInfo(zone), datetime(1970, 1, 1)
+    want = [int((t - epoch - t.replace(tzinfo=z).utcoffset()).total_seconds()) * 1_000_000 for t in at]
+    assert _run(spark, [f"{t.year:04d}-{t.month}-{t.day} {t.hour}:30:00" for t in at], zone) == want
+
+
+def test_zones_in_values(spark):
+    four = _us(2025, 3, 4, 4)
+    v = ["2025-03-04 05:00 Europe/Berlin", "2025/03/04 05:00:00 europe/berlin", "2025-03-04 05:00 (Europe/Berlin)", "Mar 3, 2025 11:00 PM America/New_York", "2025-03-04T01:00:00 America/Argentina/Buenos_Aires", "2025-03-04 12:00 CST", "1969-07-20 20:17:40Z"]
+    assert _run(spark, v) == [four] * 6 + [_us(1969, 7, 20, 20, 17, 40)]
+    assert _run(spark, ["2025-03-03 22:00 CST", "2025-03-04 12:00 HKT"], "America/Chicago") == [four, four]
+    assert _run(spark, ["2025-03-04 05:00 Europe/Nowhere", "-1741061106", "-1741061106.25", "-1741061106000"]) == [None, -1741061106000000, -1741061106250000, -1741061106000000]
+
+
 def test_unknown_owner_and_empty(spark):
     d = spark.createDataFrame([(1, "2025-01-01 00:00:00", None, ""), (2, "2025-01-01T00:00:00Z", None, "")], SCHEMA)
     z = spark.createDataFrame([], "zone string")

@@ -8,9 +8,12 @@ ambiguous time (the earlier instant counts), none a skipped one (the offset
 before the change counts), one gives the offset.
 
 The interval table is made from the IANA zone rules, so its size (zones x
-years) does not depend on the data and it may be broadcast.
+years) does not depend on the data and it may be broadcast. It has the local years
+FIRST_YEAR to LAST_YEAR: before them every zone has its first offset, and a later
+year is looked up as the one of the last 28 that has the same days of the week
+and as many days, as the rules that hold by then only ask for those.
 
-Defined results: null, blank, relative, date-only, time-only and impossible
+Defined results: years 1 to 9999 count; null, blank, relative, date-only, time-only and impossible
 values give no row; absent seconds are 0; digits finer than a microsecond are
 cut; an owner without a known zone gives no row unless the value has its own
 zone; an empty table gives no rows; other columns are not looked at.
@@ -18,9 +21,10 @@ zone; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import calendar
 import functools
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, available_timezones
 
 import pyarrow as pa
@@ -37,13 +41,16 @@ ABBREVIATIONS = {
 }
 #: Stands for letters that are no zone.
 NO_ZONE = 1 << 20
-FIRST_YEAR, LAST_YEAR = 1970, 2069
+#: The zones' first change is later than the one, all announced changes (2087) earlier than the 28 years before the other.
+FIRST_YEAR, LAST_YEAR = 1800, 2128
+#: A year after LAST_YEAR by (day of the week it begins with, leap year): its like among the last 28.
+LIKE_YEAR = {(date(y, 1, 1).isoweekday() % 7 + 1, calendar.isleap(y)): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 @functools.cache
 def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
-    """(from, to, offset) in seconds of UTC, without gaps, for one zone."""
+    """(from, to, offset) in seconds of UTC, without gaps, for one zone; the first has no beginning."""
     z = ZoneInfo(zone)
 
     def off(t: int) -> int:
@@ -52,7 +59,7 @@ def zone_intervals(zone: str) -> tuple[tuple[int, int, int], ...]:
     step = 14 * 86400
     start = int(datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp()) - 2 * 86400
     stop = int(datetime(LAST_YEAR + 1, 1, 1, tzinfo=timezone.utc).timestamp()) + 2 * 86400
-    out, began, cur, t = [], start, off(start), start
+    out, began, cur, t = [], -(1 << 50), off(start), start
     while t < stop:
         nxt = min(t + step, stop)
         if (o := off(nxt)) != cur:
@@ -95,7 +102,7 @@ def interval_table(zones: DataFrame) -> DataFrame:
     """Offset intervals of the zones named (lower case), one row a local year.
 
     Names the zone rules do not know are left out, so there are at most as many
-    zones as IANA has (about 600, of 100 years each).
+    zones as IANA has (about 600, of 329 years each).
     """
     return zones.select("zone").where("zone is not null").distinct().mapInArrow(
         _explode, "zone string, year int, spans array<struct<a:bigint,b:bigint,off:bigint>>")
@@ -109,9 +116,9 @@ def _clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s​﻿]+", " "))
 
 
-_ZONE = r"([a-z]{1,5})? ?(?:([+-]\d{1,2})(?::?(\d{2}))?)?(?: ?\([a-z]{2,5}\))? ?(?:\[([a-z0-9_+\-/]+)\])?"
+_ZONE = r"([a-z]{1,5}(?![a-z_/]))? ?(?:([+-]\d{1,2})(?::?(\d{2}))?)?(?: ?\([a-z]{2,5}\))? ?(?:[\[(]?((?<=\[)[a-z0-9_+\-/]+|[a-z_]+(?:/[a-z0-9_+\-]+)+)[\])]?)?"
 _HALF = r"(凌晨|清晨|早上|早晨|上午|中午|下午|傍晚|晚上|晚间|am|pm)?"
-_TIME = _HALF + r" ?(\d{1,2}) ?[:时点] ?(\d{1,2})(?: ?[:分] ?(\d{1,2}))?(?:(?<=\d)[.,](\d+))?(?:分|秒)?,? ?(am|pm|a\.m\.|p\.m\.)?"
+_TIME = _HALF + r" ?(\d{1,2}) ?[:时点] ?(\d{1,2})(?: ?[:分] ?(\d{1,2}))?(?:(?<=\d)[.,](\d+))?(?:分|秒)?,? ?(?:(am|pm|a\.m\.|p\.m\.)(?![a-z]))?"
 # a value becomes: wall time | fraction | half of the day | letters of the zone | hours | minutes | IANA name
 _REST = "|$8|$4$9|$10|$11|$12|$13"
 _SHAPES = [
@@ -121,7 +128,7 @@ _SHAPES = [
     (r"^(?:[a-z]{3,9},? )?(\d{1,2})[ -]([a-z]{3})[a-z]{0,6}\.?[ -](\d{4}),? (?:at )?" + _TIME + " ?" + _ZONE + "$", "$3-$2-$1 $5:$6:$7" + _REST),
     (r"^(\d{4})(\d{2})(\d{2})[t ]?()(\d{2}):?(\d{2}):?(\d{2})?(?:[.,](\d+))?() ?" + _ZONE + "$", "$1-$2-$3 $5:$6:$7" + _REST),
 ]
-_COUNT = r"^(?:\d{9,11}|\d{13}|\d{15,16}|\d{18,19})(?:\.\d+)?$"
+_COUNT = r"^-?(?:\d{9,11}|\d{13}|\d{15,16}|\d{18,19})(?:\.\d+)?$"
 
 
 def parsed(v: Column) -> Column:
@@ -141,8 +148,9 @@ def instants(df: DataFrame, value: str, owner_zone: str, zones: DataFrame) -> Da
     in values are found by a light scan for brackets. The projections are kept
     small on purpose: one large generated method would not be compiled.
     """
-    inside = df.where(F.col(value).contains("[") | F.col(value).contains("［"))
-    inside = inside.select(F.regexp_extract(F.lower(_clean(F.col(value))), r"\[([a-z0-9_+\-/]+)\]", 1).alias("zone"))
+    v = F.col(value)
+    inside = df.where(v.contains("[") | v.contains("［") | (v.contains("/") & v.rlike("[A-Za-z]/[A-Za-z]")))
+    inside = inside.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_clean(v)), F.lit(r"([a-z_]+(?:/[a-z0-9_+\-]+)+|(?<=\[)[a-z0-9_+\-/]+)"), F.lit(1)))).alias("zone"))
     every = zones.select(F.lower("zone").alias("zone")).unionAll(inside)
     every = every.unionAll(df.sparkSession.range(1).select(F.lit("asia/shanghai").alias("zone")))
     spans = interval_table(every).select(F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans"))
@@ -161,23 +169,35 @@ def instants(df: DataFrame, value: str, owner_zone: str, zones: DataFrame) -> Da
     shift = F.when(half == "", 0).when(clock12 & (h > 12), None).when(late & (h < 12), 12).when(early & (h == 12), -12).when((half == "中午") & (h < 3), 12).otherwise(0)
     known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     minutes = F.concat(F.left(part(4), F.lit(1)), part(5)).try_cast("int")
+    american = F.when((part(3) == "cst") & F.lower(owner_zone).rlike("^(america|us)/"), -360)
     named = F.when(part(6) != "", part(6)).when(F.col("__v").contains("北京时间"), "asia/shanghai").otherwise(F.lower(owner_zone))
     d = d.withColumns({
         "__local": F.col("__wall") + shift * 3600,
-        "__fixed": F.when(part(4) != "", part(4).try_cast("int") * 60 + F.coalesce(minutes, F.lit(0))).when(part(3) != "", F.coalesce(F.element_at(known, part(3)), F.lit(NO_ZONE))),
+        "__fixed": F.when(part(4) != "", part(4).try_cast("int") * 60 + F.coalesce(minutes, F.lit(0))).when(part(3) != "", F.coalesce(american, F.element_at(known, part(3)), F.lit(NO_ZONE))),
         "__zone": named,
-        "__year": F.year(F.timestamp_seconds("__wall")),
     })
+    # the year the local time is in, and the one it is looked up in
+    y = F.year(F.timestamp_seconds("__local"))
+    begin = F.make_date(y, F.lit(1), F.lit(1))
+    likes = F.create_map(*[F.lit(x) for (day, leap), year in LIKE_YEAR.items() for x in (day * 2 + leap, year)])
+    leap = (F.dayofyear(F.make_date(y, F.lit(12), F.lit(31))) == 366).cast("int")
+    like = F.element_at(likes, F.dayofweek(begin) * 2 + leap)
+    late_year = F.when(y < FIRST_YEAR, FIRST_YEAR).when(y > LAST_YEAR, like).otherwise(y)
+    d = d.withColumn("__year", late_year)
+    moved = F.when(y > LAST_YEAR, F.datediff(begin, F.make_date(F.col("__year"), F.lit(1), F.lit(1))).cast("bigint") * 86400).otherwise(F.lit(0))
+    d = d.withColumn("__at", F.col("__local") - moved)
     d = d.join(F.broadcast(spans), ["__zone", "__year"], "left")
     d = d.withColumn("__offset", F.when(F.col("__fixed").isNotNull(), F.col("__fixed") * 60).otherwise(F.coalesce(
         # the earlier of two instants has the larger offset; in a gap the last interval that ended holds
-        F.expr("array_max(transform(filter(__spans, x -> __local >= x.a and __local < x.b), x -> x.off))"),
-        F.expr("array_max(transform(filter(__spans, x -> x.b <= __local), x -> struct(x.b, x.off))).off"),
+        F.expr("array_max(transform(filter(__spans, x -> __at >= x.a and __at < x.b), x -> x.off))"),
+        F.expr("array_max(transform(filter(__spans, x -> x.b <= __at), x -> struct(x.b, x.off))).off"),
     )))
-    k = F.split_part(F.substring(part(0), 2, 40), F.lit("."), F.lit(1))
-    fr = F.rpad(F.substring(F.split_part(F.substring(part(0), 2, 40), F.lit("."), F.lit(2)), 1, 6), 6, "0").try_cast("bigint")
+    number = F.ltrim(F.substring(part(0), 2, 40), F.lit("-"))
+    k = F.split_part(number, F.lit("."), F.lit(1))
+    fr = F.rpad(F.substring(F.split_part(number, F.lit("."), F.lit(2)), 1, 6), 6, "0").try_cast("bigint")
     n, n_digits = k.try_cast("bigint"), F.length(k)
     counted = F.when(n_digits <= 11, n * 1_000_000 + fr).when(n_digits == 13, n * 1000 + F.floor(fr / 1000)).when(n_digits <= 16, n).otherwise(F.floor(n / 1000))
+    counted = counted * F.when(F.substring(part(0), 2, 1) == "-", -1).otherwise(1)
     at = F.when(F.left(part(0), F.lit(1)) == "#", counted).when(
         F.coalesce(F.col("__fixed"), F.lit(0)) != NO_ZONE, (F.col("__local") - F.col("__offset")) * 1_000_000 + F.col("__us"))
     d = d.select(*df.columns, at.cast("bigint").alias("epoch_us"))
