@@ -86,3 +86,20 @@ def test_stream_keeps_ranges_between_batches(spark, tmp_path):
     q.stop()
     got = [f"{r.producer}{r.number:015d}" for r in spark.table("first_by_range").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_open_range():
+    """Batches of any size, cut anywhere, give what one batch gives; only one range is held."""
+    rng = np.random.default_rng(3)
+    rows = np.sort(rng.integers(0, 3, 500) * 10_000 + rng.integers(0, 150, 500))
+    producer, number = rows // 10_000, rows % 10_000
+    want = np.append(True, rows[1:] != rows[:-1])
+    for size in (1, 2, 7, 500):
+        r = D.OpenRange()
+        got = np.concatenate([r.offer(producer[i : i + size], number[i : i + size]) for i in range(0, 500, size)])
+        assert got.tolist() == want.tolist()
+        last = [n for p, n in zip(producer, number, strict=True) if p == producer[-1]]
+        lo = last[-1]
+        while lo - 1 in last:
+            lo -= 1
+        assert (r.producer, r.lo, r.hi) == (producer[-1], lo, last[-1])

@@ -10,7 +10,10 @@ Distribution: a first pass runs on each input partition without a shuffle (the
 map-side combine: of a message repeated a million times one candidate a
 partition is left), then candidates meet by (producer, block of numbers). Rows
 known to be surplus already travel under their own row key, so no message, day
-or producer can make a task large.
+or producer can make a task large. Both passes sort by producer and number, copies
+in delivery order, so that ranges close one after the other: the state of a task
+is the one range that is open. A stream, where numbers come in any order, keeps
+all ranges of a block (`SeenRanges`).
 
 Defined results: null, blank and written-out nan/none/null identifiers are
 never copies; a null scope (site) is a scope of its own; ties in the delivery
@@ -71,19 +74,36 @@ class SeenRanges:
         self.lo, self.hi = lo[head], hi[np.append(np.flatnonzero(head)[1:] - 1, len(hi) - 1)]
 
 
+class OpenRange:
+    """The range that is being seen, when numbers come in order: one number of state, whatever is behind it."""
+
+    def __init__(self) -> None:
+        self.producer, self.lo, self.hi = None, 0, -1
+
+    def offer(self, producer: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which rows a range does not cover yet; rows are sorted by producer and number."""
+        if not len(number):
+            return np.zeros(0, bool)
+        ok = np.ones(len(number), bool)
+        ok[1:] = (producer[1:] != producer[:-1]) | (number[1:] != number[:-1])
+        if self.producer == producer[0]:
+            ok[0] = number[0] > self.hi
+        # where the last range begins: at the last row that does not follow on the one before it
+        breaks = np.flatnonzero((producer[1:] != producer[:-1]) | (number[1:] > number[:-1] + 1))
+        if len(breaks) or self.producer != producer[0] or number[0] > self.hi + 1:
+            self.lo = int(number[breaks[-1] + 1]) if len(breaks) else int(number[0])
+        self.producer, self.hi = producer[-1], int(number[-1])
+        return ok
+
+
 def _accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in delivery order; ``surplus`` is set where a range covers."""
-    seen: dict[int, SeenRanges] = {}
+    """Rows come by producer, number and delivery; ``surplus`` is set where a range covers."""
+    seen = OpenRange()
     for b in batches:
-        producer = b.column("producer").to_numpy(zero_copy_only=False)
-        number = b.column("number").to_numpy(zero_copy_only=False)
         surplus = b.column("surplus").to_numpy(zero_copy_only=False).copy()
         open_ = np.flatnonzero(~surplus)
-        order = open_[np.argsort(producer[open_], kind="stable")]
-        ends = np.flatnonzero(np.diff(producer[order])) + 1
-        for rows in np.split(order, ends) if len(order) else ():
-            got = seen.setdefault(int(producer[rows[0]]), SeenRanges()).offer(number[rows])
-            surplus[rows[~got]] = True
+        ok = seen.offer(*(b.column(c).to_numpy(zero_copy_only=False)[open_] for c in ("producer", "number")))
+        surplus[open_[~ok]] = True
         yield pa.RecordBatch.from_arrays(
             [*(b.column(c) for c in ("row_key", "producer", "number", "batch")), pa.array(surplus)],
             ["row_key", "producer", "number", "batch", "surplus"],
@@ -100,13 +120,14 @@ def by_ranges(df: DataFrame) -> DataFrame:
     then row_key.
     """
     start = df.select("row_key", "producer", "number", "batch", F.lit(False).alias("surplus"))
-    local = start.sortWithinPartitions("batch", "row_key").mapInArrow(_accept, _SCHEMA)
+    order = ["producer", "number", "batch", "row_key"]
+    local = start.sortWithinPartitions(*order).mapInArrow(_accept, _SCHEMA)
     meet = F.when(F.col("surplus"), F.xxhash64("row_key")).otherwise(
         F.xxhash64("producer", F.expr(f"number div {BLOCK}"))
     )
     return (
         local.repartition(meet)
-        .sortWithinPartitions("batch", "row_key")
+        .sortWithinPartitions(*order)
         .mapInArrow(_accept, _SCHEMA)
     )
 
