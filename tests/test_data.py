@@ -115,10 +115,15 @@ def test_first_deliveries_and_sink(spark, events, tmp_path):
     assert windows.first_deliveries(twice, "event_id").count() == 120
     twice.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
-    sink = windows.upsert_sink(str(tmp_path / "t"), lambda old, new: old.unionByName(new).dropDuplicates(["event_id"]))
+    sink = windows.upsert_sink(str(tmp_path / "t"), F.col("event_id"), lambda old, new: old.unionByName(new).dropDuplicates(["event_id"]))
     q = windows.first_deliveries(stream, "event_id").writeStream.foreachBatch(sink).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "t" / "v0")).count() == 120
+    got = windows.upserted_table(spark, str(tmp_path / "t"))
+    assert got.count() == 120 and set(got.columns) == {*events.columns, "bucket"}
+    sink(events.where("event_id = 7"), 5)  # one bucket has a new version, the others stay
+    sink(events.where("event_id = 7"), 5)
+    assert len(list((tmp_path / "t" / "version=5").glob("bucket=*"))) == 1
+    assert windows.upserted_table(spark, str(tmp_path / "t")).count() == 120
 
 
 def test_paged_source(spark, tmp_path):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Separators from coarse to fine; the last splits anywhere.
-SEPARATORS = ("\n\n", "\n", "。", ". ", " ", "")
+#: Separators from coarse to fine; the last splits anywhere.
+SEPARATORS = ("\n\n", "\n", "。", "！", "？", ".", "!", "?", " ", "")
 
 
 def split(text: str | None, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -49,6 +51,13 @@ def _parts(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def recursive_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split(t) if isinstance(t, str) else [])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def recursive_chunks(texts: pa.Array) -> pa.Array:
+    """A batch of texts; those that fit into one chunk, and null ones, never reach `split`."""
+    long_ = pc.greater(pc.utf8_length(texts), 500).fill_null(False)
+    whole = pc.utf8_trim_whitespace(texts).to_pylist()
+    out = [[w] if w else [] for w in whole]
+    at = np.flatnonzero(long_.to_numpy(zero_copy_only=False))
+    for i, t in zip(at.tolist(), texts.filter(long_).to_pylist(), strict=True):
+        out[i] = split(t)
+    return pa.array(out, pa.list_(pa.string()))

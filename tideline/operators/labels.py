@@ -33,9 +33,71 @@ def time_split(ts: Column, train_end: str, val_end: str, test_end: str) -> Colum
     return F.when(ts < at(train_end), "train").when(ts < at(val_end), "val").when(ts < at(test_end), "test")
 
 
-def quantiles(train: DataFrame, wanted: dict[str, tuple[Column, float, float]]) -> DataFrame:
-    """One row of exact linear-interpolation quantiles: name -> (column, q, value where there is none)."""
-    return train.agg(*[F.coalesce(F.percentile(F.when(~F.isnan(c), c), q), F.lit(d)).alias(n) for n, (c, q, d) in wanted.items()])
+#: Rows up to which a quantile is one aggregate, whose final task holds all distinct values; beyond it ranks are narrowed down.
+ONE_TASK = 2_000_000
+#: Accuracy of the brackets, and distinct values in a bracket that are sorted by the driver.
+_ACCURACY, _FEW = 10_000, 50_000
+
+
+def quantiles(train: DataFrame, wanted: dict[str, tuple[Column, float, float]], one_task: int = ONE_TASK) -> DataFrame:
+    """One row of exact linear-interpolation quantiles: name -> (column, q, value where there is none).
+
+    More than ``one_task`` rows are never sorted or held as a whole: approximate
+    quantiles with a known error bracket each rank, the rows below a bracket are
+    counted, and the bracket is narrowed until its distinct values are few.
+    """
+    clean = {n: F.when(~F.isnan(c), c).cast("double") for n, (c, _, _) in wanted.items()}
+    if train.limit(one_task + 1).count() <= one_task:
+        return train.agg(*[F.coalesce(F.percentile(clean[n], q), F.lit(d)).alias(n) for n, (_, q, d) in wanted.items()])
+    values = train.select(*[c.alias(n) for n, c in clean.items()])
+    found = {n: _by_ranks(values.select(F.col(n).alias("v")), q) for n, (_, q, _) in wanted.items()}
+    return train.sparkSession.createDataFrame(
+        [tuple(d if found[n] is None else found[n] for n, (_, _, d) in wanted.items())], ", ".join(f"`{n}` double" for n in wanted))
+
+
+def _by_ranks(values: DataFrame, q: float) -> float | None:
+    """Exact quantile of the column v, by brackets around its rank."""
+    v = values.where("v is not null")
+    n = v.count()
+    if not n:
+        return None
+    at = (n - 1) * q
+    low, high = int(at), min(int(at) + 1, n - 1)
+    below, inside = 0, v
+    while True:
+        few = inside.groupBy("v").count().limit(_FEW + 1).collect()
+        if len(few) <= _FEW:
+            break
+        # ranks inside the bracket, two errors to either side
+        m = inside.count()
+        shares = [max(0.0, (low - below) / m - 2 / _ACCURACY), min(1.0, (high - below + 1) / m + 2 / _ACCURACY)]
+        a, b = inside.agg(F.percentile_approx("v", shares, _ACCURACY).alias("x")).first()["x"]
+        below += inside.where(F.col("v") < a).count()
+        inside = inside.where((F.col("v") >= a) & (F.col("v") <= b))
+    rank, at_rank = below, {}
+    for r in sorted(few, key=lambda r: r["v"]):
+        for k in (low, high):
+            if rank <= k < rank + r["count"]:
+                at_rank[k] = r["v"]
+        rank += r["count"]
+    return (high - at) * at_rank[low] + (at - low) * at_rank[high] if high > low else at_rank[low]
+
+
+def medians(df: DataFrame, group: str, value: str, one_task: int = ONE_TASK) -> DataFrame:
+    """(group, median): exact; groups with more than ``one_task`` rows and a hundredth of all are narrowed down one by one."""
+    sizes = df.groupBy(group).agg(F.count(value).alias("n"))
+    most = sizes.agg(F.greatest(F.lit(one_task), F.ceil(F.sum("n") / 100)).alias("most"))
+    hot = [r[0] for r in sizes.crossJoin(F.broadcast(most)).where("n > most").select(group).collect()]  # fewer than a hundred
+    same = lambda g: F.col(group).eqNullSafe(F.lit(g))
+    rest = df
+    for g in hot:
+        rest = rest.where(~same(g))
+    out = rest.groupBy(group).agg(F.median(value).alias("median"))
+    kind = dict(df.dtypes)[group]
+    for g in hot:
+        m = _by_ranks(df.where(same(g)).select(F.col(value).cast("double").alias("v")), 0.5)
+        out = out.unionAll(df.sparkSession.createDataFrame([(g, m)], f"`{group}` {kind}, median double"))
+    return out
 
 
 def with_thresholds(df: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -73,18 +73,40 @@ def interval_agg(
     return j.groupBy(key).agg(*aggs)
 
 
-def impacts(events: DataFrame, bars: DataFrame, key: str, by: str, ts: str, windows: list[int]) -> DataFrame:
-    """(key, by, window_min, price_event, price_future, delta, ret, event_gap_s, future_gap_s): as-of prices at ts and ts + window."""
-    e = asof(events.select(key, by, ts), bars.select(by, "ts_utc", "close"), by, ts, "ts_utc", ["close"])
-    e = e.select(key, by, ts, F.col("close").alias("price_event"), F.col("asof_ts").alias("event_bar"))
-    f = e.select("*", F.explode(F.array(*map(F.lit, windows))).alias("window_min"))
-    f = f.withColumn("__future", F.col(ts) + F.make_dt_interval(mins=F.col("window_min")))
-    f = asof(f, bars.select(by, "ts_utc", "close"), by, "__future", "ts_utc", ["close"])
-    gap = lambda a, b: F.abs(seconds(F.col(a)) - seconds(F.col(b)))
+def prices_at(events: DataFrame, bars: DataFrame, key: str, by: str, ts: str, minutes: list[int]) -> DataFrame:
+    """(key, by, ts, one struct (close, asof_ts) a shift): as-of prices at ts + each of ``minutes``, named p0, p15, m120 for -120.
+
+    All times are looked up in one as-of, so the bars are shuffled and sorted
+    once whatever the number of shifts. ``key`` is unique.
+    """
+    e = events.select(key, by, ts, F.explode(F.array(*map(F.lit, minutes))).alias("__shift"))
+    e = e.withColumn("__at", F.col(ts) + F.make_dt_interval(mins=F.col("__shift")))
+    a = asof(e, bars.select(by, "ts_utc", "close"), by, "__at", "ts_utc", ["close"])
+    name = lambda m: f"p{m}" if m >= 0 else f"m{-m}"
+    return a.groupBy(key, by, ts).agg(*[F.max(F.when(F.col("__shift") == m, F.struct("close", "asof_ts"))).alias(name(m)) for m in minutes])
+
+
+def change(later: Column, earlier: Column) -> Column:
+    """(later - earlier) / earlier; null where there is nothing to divide by."""
+    return (later - earlier) / F.nullif(earlier, F.lit(0.0))
+
+
+def impacts(events: DataFrame, bars: DataFrame, key: str, by: str, ts: str, windows: list[int], before: int | None = None) -> DataFrame:
+    """(key, by, window_min, price_event, price_future, delta, ret, event_gap_s, future_gap_s): as-of prices at ts and ts + window.
+
+    With ``before`` also pre_ret: the change to price_event from the as-of price so many minutes earlier.
+    """
+    p = prices_at(events, bars, key, by, ts, [0, *windows, *([-before] if before else [])])
+    gap = lambda a, b: F.abs(seconds(a) - seconds(b))
+    at = F.array(*[F.struct(F.lit(w).alias("window_min"), F.col(f"p{w}").alias("f")) for w in windows])
+    f = p.withColumn("__w", F.explode(at))
+    now, then = F.col("p0.close"), F.col("__w.f.close")
+    w = F.col("__w.window_min")
+    extra = [change(now, F.col(f"m{before}.close")).alias("pre_ret")] if before else []
     return f.select(
-        key, by, "window_min", "price_event", F.col("close").alias("price_future"), (F.col("close") - F.col("price_event")).alias("delta"),
-        ((F.col("close") - F.col("price_event")) / F.nullif("price_event", F.lit(0.0))).alias("ret"),
-        gap(ts, "event_bar").alias("event_gap_s"), gap("__future", "asof_ts").alias("future_gap_s"))
+        key, by, w.alias("window_min"), now.alias("price_event"), then.alias("price_future"), (then - now).alias("delta"),
+        change(then, now).alias("ret"), gap(F.col(ts), F.col("p0.asof_ts")).alias("event_gap_s"),
+        gap(F.col(ts) + F.make_dt_interval(mins=w), F.col("__w.f.asof_ts")).alias("future_gap_s"), *extra)
 
 
 def fresh(df: DataFrame, seconds_: int = 300) -> DataFrame:

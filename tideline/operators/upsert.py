@@ -15,11 +15,15 @@ def article_key() -> Column:
 
 
 def upserted(df: DataFrame, key: Column, order: list[str], created: str) -> DataFrame:
-    """One row a key: the last by ``order``, with the first ``created``. Aggregates combine on the map side, so hot keys are harmless."""
-    rest = [c for c in df.columns if c not in order and c != created]
-    last = F.max(F.struct(*order, *rest)).alias("__last")
-    d = df.groupBy(key.alias("__key")).agg(last, F.min(created).alias(created))
-    return d.select(*[F.col(f"__last.{c}").alias(c) if c != created else F.col(c) for c in df.columns])
+    """One row a key: the last by ``order``, with the first ``created``; the last column of ``order`` is unique.
+
+    Only key, order and created are aggregated, with map-side combine, so hot
+    keys are harmless; the wide rows move once, in the join with the winners.
+    """
+    last = df.groupBy(key.alias("__key")).agg(F.max(F.struct(*order)).alias("__last"), F.min(created).alias("__created"))
+    win = last.select(F.col(f"__last.{order[-1]}").alias("__id"), "__created")
+    out = df.join(win, F.col(order[-1]) == F.col("__id"))
+    return out.select(*[F.col("__created").alias(c) if c == created else c for c in df.columns])
 
 
 def merge(target: DataFrame, batch: DataFrame, key: Column, order: list[str], created: str) -> DataFrame:
@@ -28,11 +32,17 @@ def merge(target: DataFrame, batch: DataFrame, key: Column, order: list[str], cr
 
 
 def first_seen(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
-    """The first row of each key, null keys as empty text."""
+    """The first row of each key by ``order``, whose last column is unique; null keys as empty text."""
     k = [F.coalesce(c.cast("string"), F.lit("")).alias(f"__k{i}") for i, c in enumerate(key)]
-    rest = [c for c in df.columns if c not in order]
-    d = df.groupBy(*k).agg(F.min(F.struct(*order, *rest)).alias("__f"))
-    return d.select(*[F.col(f"__f.{c}").alias(c) for c in df.columns])
+    first = df.groupBy(*k).agg(F.min(F.struct(*order)).alias("__f")).select(F.col(f"__f.{order[-1]}").alias("__id"))
+    return df.join(first, F.col(order[-1]) == F.col("__id"), "left_semi")
+
+
+def message_key(id_: Column, *rest: Column) -> Column:
+    """A message's own identifier; without one auto_ and the md5 of its other fields."""
+    own = F.nullif(F.trim(id_), F.lit(""))
+    other = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in rest])
+    return F.coalesce(own, F.concat(F.lit("auto_"), F.md5(other)))
 
 
 def content_hash(title: Column, content: Column) -> Column:

@@ -101,8 +101,10 @@ def dt_event_time(s: SparkSession, d: str) -> DataFrame:
 
 
 def d2_first_by_id(s: SparkSession, d: str) -> DataFrame:
-    f = table(s, d, "flash").where("id is not null")
-    return upsert.first_seen(f, [F.col("id")], ["row_id"]).select("row_id", "id")
+    """First delivery of each message; those without an id are told apart by their fields."""
+    f = table(s, d, "flash").select("row_id", "id", "time", "content")
+    f = f.select("row_id", upsert.message_key(F.col("id"), F.col("time"), F.col("content")).alias("key"))
+    return upsert.first_seen(f, [F.col("key")], ["row_id"]).select("row_id", "key")
 
 
 def d3_first_by_key(s: SparkSession, d: str) -> DataFrame:
@@ -125,7 +127,7 @@ def d1_union(s: SparkSession, d: str) -> DataFrame:
 
 
 def k1_upsert(s: SparkSession, d: str) -> DataFrame:
-    a = table(s, d, "articles")
+    a = table(s, d, "articles").select("id", "url", "hash", "site", "source", "published_at", "content", "created_at", "updated_at")
     return upsert.upserted(a, upsert.article_key(), ["updated_at", "id"], "created_at").select("id", "created_at", "updated_at", F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
 
 
@@ -195,8 +197,6 @@ QUERIES = {f.__name__: f for f in (
 _FIRST = lambda cs: "coalesce(" + ", ".join(f"CASE WHEN lower(trim({c})) NOT IN ('', 'nan') THEN trim({c}) END" for c in cs) + ", '')"
 _STRIP = r"regexp_replace(coalesce({c}, ''), '^[\s\x{{0b}}\x{{85}}\p{{Z}}]+|[\s\x{{0b}}\x{{85}}\p{{Z}}]+$', '', 'g')"
 _COUNT = lambda ws: "(" + " + ".join(f"CAST(contains(lower(coalesce(text, '')), '{w}') AS INTEGER)" for w in ws) + ")"
-_UP = ["上涨", "增长", "超预期", "利好", "上调", "反弹", "突破", "升", "涨", "高于", "beat", "rise", "growth", "surge", "rally", "gain", "strong", "higher", "above"]
-_DOWN = ["下跌", "下降", "不及预期", "利空", "下调", "疲软", "跌破", "降", "跌", "低于", "miss", "fall", "decline", "drop", "plunge", "weak", "lower", "below"]
 _P = r"预期[：:]\s*([-0-9.]+)[^\n]*?公布[：:]\s*([-0-9.]+)"
 _TOP = """
 WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
@@ -225,7 +225,7 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CAST(len(c) AS INTEGER) AS
     "x12_direction": rf"""
 WITH e AS (SELECT text, TRY_CAST(regexp_extract(text, '{_P}', 1) AS DOUBLE) AS ex, TRY_CAST(regexp_extract(text, '{_P}', 2) AS DOUBLE) AS ac, regexp_matches(lower(text), '失业|unemployment|cpi|通胀|inflation') AS inv FROM documents),
  s AS (SELECT CASE WHEN ac - ex IS NULL THEN NULL WHEN abs(ac - ex) < 0.05 THEN 'neutral' WHEN (ac - ex > 0) <> inv THEN 'bullish' ELSE 'bearish' END AS a,
-  CASE WHEN {_COUNT(_UP)} > {_COUNT(_DOWN)} THEN 'bullish' WHEN {_COUNT(_DOWN)} > {_COUNT(_UP)} THEN 'bearish' ELSE 'neutral' END AS b FROM e)
+  CASE WHEN {_COUNT(T.BULLISH)} > {_COUNT(T.BEARISH)} THEN 'bullish' WHEN {_COUNT(T.BEARISH)} > {_COUNT(T.BULLISH)} THEN 'bearish' ELSE 'neutral' END AS b FROM e)
 SELECT coalesce(a, b) AS mood, count(*) AS n FROM s GROUP BY 1""",
     "x13_routes": "SELECT item_id, CASE WHEN regexp_matches(text, '财报|营收|利润|年报|季报|业绩') THEN 'report_qa' ELSE 'news_analysis' END AS route FROM eval_items",
     "x15_heat": "SELECT row_id, CASE trim(hot) WHEN '火' THEN 1 WHEN '热' THEN 2 WHEN '沸' THEN 3 WHEN '爆' THEN 4 END AS level FROM flash",
@@ -234,7 +234,7 @@ SELECT coalesce(a, b) AS mood, count(*) AS n FROM s GROUP BY 1""",
     "x20_features": "SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 60) AS title, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '|', '')) >= 2)) > 0 AS has_table FROM documents WHERE text IS NOT NULL",
     "dt_event_time": r"SELECT row_id, TRY_CAST(regexp_extract(time, '(\d{4})年(\d{1,2})月(\d{1,2})日', 1) || '-' || lpad(regexp_extract(time, '(\d{4})年(\d{1,2})月(\d{1,2})日', 2), 2, '0') || '-' || lpad(regexp_extract(time, '(\d{4})年(\d{1,2})月(\d{1,2})日', 3), 2, '0') AS DATE) AS day FROM flash WHERE regexp_matches(time, '(\d{4})年(\d{1,2})月(\d{1,2})日')",
     "d1_union": "SELECT 'flash' AS src, count(*) AS n, count(content) AS texts FROM flash UNION ALL SELECT 'articles', count(*), count(content) FROM articles",
-    "d2_first_by_id": "SELECT min(row_id) AS row_id, id FROM flash WHERE id IS NOT NULL GROUP BY id",
+    "d2_first_by_id": "WITH k AS (SELECT row_id, coalesce(nullif(trim(id), ''), 'auto_' || md5(coalesce(time, '') || '|' || coalesce(content, ''))) AS key FROM flash) SELECT min(row_id) AS row_id, key FROM k GROUP BY key",
     "d3_first_by_key": "SELECT min(row_id) AS row_id FROM flash GROUP BY coalesce(time, ''), coalesce(indicator_name, ''), coalesce(previous, ''), coalesce(actual, '')",
     "d4_content_hash": f"SELECT id, sha1({_STRIP.format(c='title')} || chr(10) || {_STRIP.format(c='content')}) AS digest FROM articles",
     "d6_unique_ratio": "WITH c AS (SELECT doc_id, list_transform(generate_series(0, length(text) - 1, 20), lambda i: substr(text, i + 1, 20)) AS p FROM documents WHERE length(text) > 0) SELECT doc_id, round(len(list_distinct(p)) / len(p), 6) AS ratio FROM c",

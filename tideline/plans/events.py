@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.functions import text as T
 from tideline.operators import labels, metrics, temporal
+from tideline.operators.ranks import positions
 from tideline.session import cut, table
 
 WINDOWS = [5, 10, 15, 30]
@@ -33,12 +38,14 @@ def s2_event_scan(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "news_items").select("news_id", "ts", "source", "event_id", "country", "name", "content", "star", "previous", "consensus", "actual").orderBy("ts", "news_id")
 
 
-def _impacts(s: SparkSession, d: str, windows: list[int] = WINDOWS) -> DataFrame:
-    return temporal.impacts(_news(s, d), _bars(s, d), "news_id", "ticker", "ts_utc", windows)
+def _impacts(s: SparkSession, d: str, windows: list[int] = WINDOWS, ticker: str | None = None, before: int | None = None) -> DataFrame:
+    """A ticker is filtered in both scans: the joins never see the others."""
+    one = F.lit(True) if ticker is None else F.col("ticker") == ticker
+    return temporal.impacts(_news(s, d).where(one), temporal.clean_bars(table(s, d, "prices_m1").where(one)), "news_id", "ticker", "ts_utc", windows, before)
 
 
 def s3_impact_scan(s: SparkSession, d: str) -> DataFrame:
-    return _impacts(s, d, [15]).where("ticker = 'XAUUSD'").select("news_id", F.round("ret", 9).alias("ret_post"))
+    return _impacts(s, d, [15], "XAUUSD").select("news_id", F.round("ret", 9).alias("ret_post"))
 
 
 def s4_price_range(s: SparkSession, d: str) -> DataFrame:
@@ -87,13 +94,11 @@ def f9_published(s: SparkSession, d: str) -> DataFrame:
 
 def f10_reversal(s: SparkSession, d: str) -> DataFrame:
     p = _pivot(s, d)
-    return p.where("abs(r5) > 0.0005 and ((r5 > 0 and r15 < -0.0003) or (r5 < 0 and r15 > 0.0003))").select("news_id")
+    return p.where("abs(r5) > 0.002 and ((r5 > 0 and r15 < -0.0003) or (r5 < 0 and r15 > 0.0003))").select("news_id")
 
 
 def f11_important(s: SparkSession, d: str) -> DataFrame:
-    from tideline.functions.text import heat
-
-    return table(s, d, "flash").select("row_id", "important", heat(F.col("hot")).alias("level")).where("important = 1 or level >= 2")
+    return table(s, d, "flash").select("row_id", "important", T.heat(F.col("hot")).alias("level")).where("important = 1 or level >= 2")
 
 
 def f17_head(s: SparkSession, d: str) -> DataFrame:
@@ -137,6 +142,19 @@ def j8_forward_range(s: SparkSession, d: str) -> DataFrame:
         F.max("high").alias("high"), F.min("low").alias("low"), F.count("*").alias("bars")])
 
 
+def m2_backward_return(s: SparkSession, d: str) -> DataFrame:
+    """Change to the event's price from the as-of price 120 minutes before, clipped; not the first bar of the window, which is `a1_lookback`."""
+    i = _impacts(s, d, [15], before=120).where("price_event is not null")
+    return i.select("news_id", F.round(labels.clip(F.col("pre_ret"), 0.05), 9).alias("pre_ret"))
+
+
+def m3_range_ratio(s: SparkSession, d: str) -> DataFrame:
+    """(high - low of the 15 minutes from the event on) / price at the event."""
+    h = temporal.interval_agg(_news(s, d), _bars(s, d), "news_id", "ticker", "ts_utc", "ts_utc", 0, 900, [F.max("high").alias("high"), F.min("low").alias("low")])
+    p = temporal.prices_at(_news(s, d), _bars(s, d), "news_id", "ticker", "ts_utc", [0]).select("news_id", F.col("p0.close").alias("p"))
+    return p.join(h, "news_id", "left").select("news_id", F.round((F.col("high") - F.col("low")) / F.nullif("p", F.lit(0.0)), 9).alias("range_ratio"))
+
+
 def a1_lookback(s: SparkSession, d: str) -> DataFrame:
     closes = F.col("close").isNotNull()
     d_ = temporal.interval_agg(_news(s, d), _bars(s, d), "news_id", "ticker", "ts_utc", "ts_utc", -7200, 0, [
@@ -149,11 +167,17 @@ def a1_lookback(s: SparkSession, d: str) -> DataFrame:
 
 
 def j10_plot_price(s: SparkSession, d: str) -> DataFrame:
-    from tideline.functions.text import direction
-
-    n = _news(s, d).select("news_id", "ticker", "ts_utc", direction(F.col("content")).alias("mood"))
-    a = temporal.asof(n, _bars(s, d).select("ticker", F.col("ts_utc").alias("bar_ts"), "high", "low", "close"), "ticker", "ts_utc", "bar_ts", ["high", "low", "close"])
-    return a.select("news_id", "mood", F.when(F.col("mood") == "bullish", F.col("low")).when(F.col("mood") == "bearish", F.col("high")).otherwise(F.col("close")).alias("price"))
+    """Where an event is drawn: a little off its fresh price, else at the low, high or close of the last bar, else at the first close there is."""
+    n = _news(s, d).select("news_id", "ticker", "ts_utc", T.direction(F.col("content")).alias("mood"))
+    b = _bars(s, d).select("ticker", F.col("ts_utc").alias("bar_ts"), "high", "low", "close")
+    a = temporal.asof(n, b, "ticker", "ts_utc", "bar_ts", ["high", "low", "close"])
+    first = b.where("close is not null").groupBy("ticker").agg(F.min_by("close", "bar_ts").alias("first"))
+    a = a.join(first, "ticker", "left")
+    fresh = F.when(temporal.seconds(F.col("ts_utc")) - temporal.seconds(F.col("asof_ts")) <= 300, F.col("close"))
+    up, down = F.col("mood") == "bullish", F.col("mood") == "bearish"
+    near = F.when(up, F.col("low")).when(down, F.col("high")).otherwise(F.col("close"))
+    shown = F.when(fresh.isNotNull(), fresh * F.when(up, 0.998).when(down, 1.002).otherwise(1.0)).when(F.col("asof_ts").isNotNull(), near).otherwise(F.col("first"))
+    return a.select("news_id", "mood", F.round(shown, 6).alias("price"))
 
 
 def j13_split_overlap(s: SparkSession, d: str) -> DataFrame:
@@ -187,9 +211,12 @@ def a6_top_other(s: SparkSession, d: str) -> DataFrame:
 
 
 def a7_describe(s: SparkSession, d: str) -> DataFrame:
-    return _set(s, d).groupBy("source").agg(
-        F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("up"), F.round(F.median("ret_post"), 9).alias("median"),
+    x = _set(s, d).select("source", "label", "ret_post")
+    one = x.groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("up"),
         F.round(F.stddev_samp("ret_post"), 9).alias("sd"), F.round(F.avg((F.abs("ret_post") < 0.0002).cast("int")), 9).alias("near_zero"))
+    m = labels.medians(x, "source", "ret_post").withColumnRenamed("source", "of")
+    return one.join(m, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "n", "up", F.round("median", 9).alias("median"), "sd", "near_zero")
 
 
 def a8_by_label(s: SparkSession, d: str) -> DataFrame:
@@ -230,12 +257,13 @@ def a14_relative(s: SparkSession, d: str) -> DataFrame:
 
 
 def a15_bounds(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "prices_m1").agg(F.min("ts_utc").alias("first"), F.max("ts_utc").alias("last"))
+    span = lambda t, c, n: table(s, d, t).agg(F.lit(n).alias("of"), F.min(c).alias("first"), F.max(c).alias("last"))
+    return span("prices_m1", "ts_utc", "prices").unionAll(span("news_items", "ts", "events"))
 
 
 def a17_prefix_histogram(s: SparkSession, d: str) -> DataFrame:
     p = F.regexp_extract(f15_text(), r"^\[([^\]]+)\]", 1)
-    return _set(s, d).groupBy(p.alias("prefix")).agg(F.count("*").alias("n"))
+    return _set(s, d).groupBy(p.alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(10)
 
 
 def a18_duplicates(s: SparkSession, d: str) -> DataFrame:
@@ -303,30 +331,42 @@ def w1_range_frame(s: SparkSession, d: str) -> DataFrame:
     b = _bars(s, d).select("ticker", "ts_utc", "close")
     day = F.floor(temporal.seconds(F.col("ts_utc")) / 86400).cast("bigint")
     b = b.select("*", day.alias("day"), F.explode(F.array_distinct(F.array(day, F.floor((temporal.seconds(F.col("ts_utc")) + 7200) / 86400).cast("bigint")))).alias("part"))
-    b.createOrReplaceTempView("__w1")
-    return s.sql("""
-SELECT ticker, ts_utc, high, n FROM (
-  SELECT ticker, ts_utc, day, part, max(close) OVER w AS high, count(close) OVER w AS n FROM __w1
-  WINDOW w AS (PARTITION BY ticker, part ORDER BY ts_utc RANGE BETWEEN INTERVAL 120 MINUTES PRECEDING AND CURRENT ROW)) WHERE day = part""")
+    frame = """max(close) OVER w AS high, count(close) OVER w AS n FROM {b}
+      WINDOW w AS (PARTITION BY ticker, part ORDER BY ts_utc RANGE BETWEEN INTERVAL 120 MINUTES PRECEDING AND CURRENT ROW)"""
+    return s.sql(f"SELECT ticker, ts_utc, high, n FROM (SELECT ticker, ts_utc, day, part, {frame}) WHERE day = part", b=b)
 
 
 def t3_seeded_order(s: SparkSession, d: str) -> DataFrame:
-    h = F.md5(F.concat(F.col("rec_id").cast("string"), F.lit("|7")))
-    return _set(s, d).orderBy(h, "rec_id").limit(100).select("rec_id")
+    """All rows in a seeded order, with their positions: sorted as ranges, numbered from the counts of the ranges."""
+    h = F.md5(F.concat(F.col("rec_id").cast("string"), F.lit("|7"))).alias("h")
+    return positions(_set(s, d).select("rec_id", h), ["h", "rec_id"]).select("rec_id", "position")
 
 
 def t4_tail(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "prices_m1").where("ticker = 'XAUUSD'").orderBy(F.desc("ts_utc"), F.desc("bar_id")).limit(1000).select("bar_id", "ts_utc")
 
 
-def t5_quotas(s: SparkSession, d: str) -> DataFrame:
-    """Seven kinds in fixed shares by a seeded hash, so no global order is needed."""
-    edges = [20, 32, 50, 60, 72, 87]
-    h = F.conv(F.substring(F.md5(F.concat(F.col("rec_id").cast("string"), F.lit("|7"))), 1, 8), 16, 10).cast("bigint") % 100
-    kind = F.lit(7)
-    for i in reversed(range(6)):
-        kind = F.when(h < edges[i], i + 1).otherwise(kind)
-    return _set(s, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+#: Shares of the seven kinds in hundredths, and the sample they are slices of; the first four top up.
+QUOTAS = {"sentiment": (20, "flash"), "json_news": (12, "flash"), "multi_window": (15, "flash"), "risk": (13, "flash"), "calendar": (18, "calendar"), "calendar_json": (10, "calendar"), "priced_in": (12, "priced_in")}
+
+
+def t5_quotas(s: SparkSession, d: str, target: int = 500) -> DataFrame:
+    """(news_id, kind): slices of three seeded samples in exact shares; what is short of the target is topped up in turn from the rest of the first."""
+    n = table(s, d, "news_items").select("news_id", "source", F.md5(F.concat(F.col("news_id").cast("string"), F.lit("|7"))).alias("h"))
+    back = f10_reversal(s, d)
+    sample = {"flash": n.where("source like '%flash%'"), "calendar": n.where("source like '%calendar%'"), "priced_in": n.join(back, "news_id", "left_semi")}
+    # at most ``target`` rows of each sample are ordered: a top-k
+    first = {k: x.orderBy("h", "news_id").limit(target).withColumn("i", F.row_number().over(W.orderBy("h", "news_id")) - 1) for k, x in sample.items()}
+    begin, out, topped = {}, [], [k for k, (_, x) in QUOTAS.items() if x == "flash"]
+    for kind, (share, of) in QUOTAS.items():
+        lo = begin.get(of, 0)
+        begin[of] = lo + target * share // 100
+        out.append(first[of].where((F.col("i") >= lo) & (F.col("i") < begin[of])).select("news_id", F.lit(kind).alias("kind")))
+    got = reduce(DataFrame.unionAll, out)
+    short = got.agg((target - F.count("*")).alias("short"))
+    rest = first["flash"].where(F.col("i") >= begin["flash"]).crossJoin(F.broadcast(short)).where(F.col("i") < begin["flash"] + F.col("short"))
+    turn = F.element_at(F.array(*map(F.lit, topped)), ((F.col("i") - begin["flash"]) % len(topped) + 1).cast("int"))
+    return got.unionAll(rest.select("news_id", turn.alias("kind")))
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
@@ -344,7 +384,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     s1_price_scan, s2_event_scan, s3_impact_scan, s4_price_range, s12_json_fields, f3_fresh_impacts, f4_clip, f5_time_split, f6_high_confidence,
     f7_event_filter, f8_significant, f9_published, f10_reversal, f11_important, f15_prefix, f16_recode, f17_head, j1_events_impacts, j2_window_pivot,
-    j3_left_default, j6_asof, j7_impacts, j8_forward_range, a1_lookback, j10_plot_price, j13_split_overlap, j14_coverage, a2_quantiles, a4_label_split,
+    j3_left_default, j6_asof, j7_impacts, j8_forward_range, m2_backward_return, m3_range_ratio, a1_lookback, j10_plot_price, j13_split_overlap, j14_coverage, a2_quantiles, a4_label_split,
     a5_value_counts, a6_top_other, a7_describe, a8_by_label, a9_confusion, a10_per_class, a11_summary, a12_mean_std, a13_subgroup_mean, a14_relative,
     a15_bounds, a17_prefix_histogram, a18_duplicates, a20_corpus, a21_class_weights, a23_histogram, m4_numbers, m5_surprise, m9_six_classes, m10_trends,
     w1_range_frame, t3_seeded_order, t4_tail, t5_quotas, flagship)}
@@ -368,10 +408,8 @@ _PC = f"""{_PRED}, k AS (SELECT CAST(label AS INTEGER) AS label FROM (VALUES (-1
  c AS (SELECT k.label, (SELECT count(*) FROM q WHERE q.label = k.label AND q.pred = k.label) AS tp, (SELECT count(*) FROM q WHERE q.pred = k.label) AS np, (SELECT count(*) FROM q WHERE q.label = k.label) AS support FROM k),
  r AS (SELECT *, coalesce(tp / nullif(np, 0), 0.0) AS p, coalesce(tp / nullif(support, 0), 0.0) AS rc FROM c),
  m AS (SELECT label, round(p, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * p * rc / nullif(p + rc, 0), 0.0), 6) AS f1, support FROM r)"""
-_UP = ["上涨", "增长", "超预期", "利好", "上调", "反弹", "突破", "升", "涨", "高于", "beat", "rise", "growth", "surge", "rally", "gain", "strong", "higher", "above"]
-_DOWN = ["下跌", "下降", "不及预期", "利空", "下调", "疲软", "跌破", "降", "跌", "低于", "miss", "fall", "decline", "drop", "plunge", "weak", "lower", "below"]
 _HITS = lambda ws: "(" + " + ".join(f"CAST(contains(lower(coalesce(content, '')), '{w}') AS INTEGER)" for w in ws) + ")"
-_MOOD = f"CASE WHEN {_HITS(_UP)} > {_HITS(_DOWN)} THEN 'bullish' WHEN {_HITS(_DOWN)} > {_HITS(_UP)} THEN 'bearish' ELSE 'neutral' END"
+_MOOD = f"CASE WHEN {_HITS(T.BULLISH)} > {_HITS(T.BEARISH)} THEN 'bullish' WHEN {_HITS(T.BEARISH)} > {_HITS(T.BULLISH)} THEN 'bearish' ELSE 'neutral' END"
 _TREND = {
     "train": "CASE WHEN {p} IS NULL THEN 'Market Data Missing' WHEN {p} > 0.005 THEN 'Strong Rally' WHEN {p} < -0.005 THEN 'Sharp Decline' WHEN abs({p}) < 0.002 AND {v} > 0.008 THEN 'High Volatility' WHEN {p} > -0.005 AND {p} < -0.002 THEN 'Weak Decline' WHEN {p} > 0.002 AND {p} < 0.005 THEN 'Mild Rally' ELSE 'Sideways' END",
     "context": "CASE WHEN {p} IS NULL THEN 'Market Data Missing' WHEN {p} > 0.005 THEN 'Strong Rally' WHEN {p} < -0.005 THEN 'Sharp Decline' WHEN {v} > 0.008 THEN 'High Volatility' WHEN {p} > 0.001 THEN 'Mild Rally' WHEN {p} < -0.001 THEN 'Weak Decline' ELSE 'Sideways' END",
@@ -395,7 +433,7 @@ SQL = {
     "f7_event_filter": "SELECT news_id, source, star FROM news_items WHERE source LIKE '%flash%' OR (source LIKE '%calendar%' AND star >= 3)",
     "f8_significant": f"WITH {_I} SELECT n.news_id, round(i.ret, 9) AS ret FROM n JOIN i USING (news_id) WHERE window_min = 15 AND abs(i.ret) > 0.0005 AND length(content) > 20",
     "f9_published": "SELECT row_id, actual FROM flash WHERE actual IS NOT NULL AND actual <> '未公布' AND indicator_name IS NOT NULL",
-    "f10_reversal": f"WITH {_I}, {_P} SELECT news_id FROM p WHERE abs(r5) > 0.0005 AND ((r5 > 0 AND r15 < -0.0003) OR (r5 < 0 AND r15 > 0.0003))",
+    "f10_reversal": f"WITH {_I}, {_P} SELECT news_id FROM p WHERE abs(r5) > 0.002 AND ((r5 > 0 AND r15 < -0.0003) OR (r5 < 0 AND r15 > 0.0003))",
     "f11_important": "SELECT * FROM (SELECT row_id, important, CASE trim(hot) WHEN '火' THEN 1 WHEN '热' THEN 2 WHEN '沸' THEN 3 WHEN '爆' THEN 4 END AS level FROM flash) WHERE important = 1 OR level >= 2",
     "f15_prefix": f"SELECT rec_id, {_F15} AS text FROM bert_finetune_cls",
     "f16_recode": "SELECT label + 1 AS class_id, count(*) AS n FROM bert_finetune_cls WHERE label IS NOT NULL GROUP BY 1",
@@ -406,8 +444,13 @@ SQL = {
     "j6_asof": f"WITH {_N}, {_B} SELECT n.news_id, b.ts_utc AS asof_ts, b.close FROM n ASOF LEFT JOIN b ON n.ticker = b.ticker AND n.t >= b.ts_utc",
     "j7_impacts": f"WITH {_I} SELECT news_id, window_min, price_event, price_future, round(delta, 9) AS delta, round(ret, 9) AS ret FROM i",
     "j8_forward_range": f"WITH {_N}, {_B} SELECT n.news_id, max(b.high) AS high, min(b.low) AS low, count(*) AS bars FROM n JOIN b ON n.ticker = b.ticker AND b.ts_utc >= n.t AND b.ts_utc <= n.t + INTERVAL 15 MINUTE GROUP BY n.news_id",
+    "m2_backward_return": f"WITH {_I}, q AS (SELECT DISTINCT news_id, ticker, t - INTERVAL 120 MINUTE AS bt, price_event FROM w WHERE price_event IS NOT NULL) SELECT q.news_id, CASE WHEN b.close <> 0 THEN round(greatest(-0.05, least(0.05, (q.price_event - b.close) / b.close)), 9) END AS pre_ret FROM q ASOF LEFT JOIN b ON q.ticker = b.ticker AND q.bt >= b.ts_utc",
+    "m3_range_ratio": f"WITH {_N}, {_B}, e AS (SELECT n.news_id, b.close AS p FROM n ASOF LEFT JOIN b ON n.ticker = b.ticker AND n.t >= b.ts_utc), h AS (SELECT n.news_id, max(b.high) AS hi, min(b.low) AS lo FROM n JOIN b ON n.ticker = b.ticker AND b.ts_utc >= n.t AND b.ts_utc <= n.t + INTERVAL 15 MINUTE GROUP BY n.news_id) SELECT news_id, round((hi - lo) / nullif(p, 0), 9) AS range_ratio FROM e LEFT JOIN h USING (news_id)",
     "a1_lookback": f"WITH {_N}, {_B}, {_A1} SELECT * FROM a1",
-    "j10_plot_price": f"WITH {_N}, {_B}, g AS (SELECT news_id, ticker, t, {_MOOD} AS mood FROM n) SELECT g.news_id, g.mood, CASE g.mood WHEN 'bullish' THEN b.low WHEN 'bearish' THEN b.high ELSE b.close END AS price FROM g ASOF LEFT JOIN b ON g.ticker = b.ticker AND g.t >= b.ts_utc",
+    "j10_plot_price": f"""WITH {_N}, {_B}, g AS (SELECT news_id, ticker, t, {_MOOD} AS mood FROM n), f AS (SELECT ticker, arg_min(close, ts_utc) AS first FROM b WHERE close IS NOT NULL GROUP BY ticker),
+ a AS (SELECT g.*, b.high, b.low, b.close, b.ts_utc, CASE WHEN epoch_us(g.t) - epoch_us(b.ts_utc) <= 300000000 THEN b.close END AS fresh FROM g ASOF LEFT JOIN b ON g.ticker = b.ticker AND g.t >= b.ts_utc)
+SELECT news_id, mood, round(CASE WHEN fresh IS NOT NULL THEN fresh * CASE mood WHEN 'bullish' THEN 0.998 WHEN 'bearish' THEN 1.002 ELSE 1.0::DOUBLE END
+ WHEN ts_utc IS NOT NULL THEN CASE mood WHEN 'bullish' THEN low WHEN 'bearish' THEN high ELSE close END ELSE first END, 6) AS price FROM a LEFT JOIN f USING (ticker)""",
     "j13_split_overlap": "WITH a AS (SELECT event_id, max(CAST(split = 'train' AS INTEGER)) AS tr, max(CAST(split = 'val' AS INTEGER)) AS va, max(CAST(split = 'test' AS INTEGER)) AS te FROM bert_finetune_cls WHERE event_id IS NOT NULL GROUP BY event_id) SELECT CAST(sum(tr * va) AS BIGINT) AS train_val, CAST(sum(tr * te) AS BIGINT) AS train_test, CAST(sum(va * te) AS BIGINT) AS val_test FROM a",
     "j14_coverage": "WITH e AS (SELECT DISTINCT event_id FROM bert_finetune_cls WHERE event_id IS NOT NULL) SELECT count(*) AS events, count(*) FILTER (event_id IN (SELECT event_id FROM market_context WHERE event_id IS NOT NULL)) AS covered FROM e",
     "a2_quantiles": "SELECT round(quantile_cont(ret_post, 0.3), 9) AS q30, round(quantile_cont(ret_post, 0.7), 9) AS q70 FROM bert_finetune_cls WHERE split = 'train'",
@@ -422,8 +465,8 @@ SQL = {
     "a12_mean_std": "SELECT page_idx, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(stddev_pop(score), 6) AS sd_pop FROM citations GROUP BY page_idx",
     "a13_subgroup_mean": "SELECT round(avg(score), 6) AS every, round(avg(score) FILTER (source_file IS NOT NULL), 6) AS sourced FROM citations",
     "a14_relative": "WITH m AS (SELECT page_idx, avg(score) AS m FROM citations GROUP BY 1) SELECT m.page_idx, round((m.m - b.m) / b.m * 100, 4) AS change FROM m, (SELECT m FROM m WHERE page_idx = 0) b",
-    "a15_bounds": "SELECT min(ts_utc) AS first, max(ts_utc) AS last FROM prices_m1",
-    "a17_prefix_histogram": rf"SELECT regexp_extract({_F15}, '^\[([^\]]+)\]', 1) AS prefix, count(*) AS n FROM bert_finetune_cls GROUP BY 1",
+    "a15_bounds": "SELECT 'prices' AS of, min(ts_utc) AS first, max(ts_utc) AS last FROM prices_m1 UNION ALL SELECT 'events', min(ts), max(ts) FROM news_items",
+    "a17_prefix_histogram": rf"SELECT regexp_extract({_F15}, '^\[([^\]]+)\]', 1) AS prefix, count(*) AS n FROM bert_finetune_cls GROUP BY 1 ORDER BY n DESC, prefix LIMIT 10",
     "a18_duplicates": "SELECT split, count(*) AS n, count(DISTINCT event_id) AS ids, min(event_ts_local) AS first, max(event_ts_local) AS last FROM bert_finetune_cls GROUP BY split",
     "a20_corpus": "SELECT doc_type, count(*) AS n, count(*) FILTER (lang IS NULL) AS no_lang, count(*) FILTER (source IS NULL) AS no_source, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY doc_type",
     "a21_class_weights": "WITH t AS (SELECT label FROM bert_finetune_cls WHERE split = 'train' AND label IN (-1, 0, 1)) SELECT label, count(*) AS n, round((SELECT count(*) FROM t) / (3.0 * count(*)), 6) AS weight FROM t GROUP BY label",
@@ -441,9 +484,16 @@ WITH x AS (SELECT *, coalesce(sign({_NUM.format(c='actual')} - {_NUM.format(c='c
 SELECT *, CASE WHEN watch = 1 THEN 5 WHEN priced = 1 THEN 3 WHEN priced = -1 THEN 4 WHEN base = 1 THEN 1 WHEN base = -1 THEN 2 ELSE 0 END AS class_id FROM y""",
     "m10_trends": "SELECT rec_id, " + ", ".join(f"{q.format(p='pre_ret', v='coalesce(range_ratio, 0)')} AS {k}" for k, q in _TREND.items()) + " FROM bert_finetune_cls",
     "w1_range_frame": f"WITH {_B} SELECT ticker, ts_utc, max(close) OVER w AS high, count(close) OVER w AS n FROM b WINDOW w AS (PARTITION BY ticker ORDER BY ts_utc RANGE BETWEEN INTERVAL 120 MINUTE PRECEDING AND CURRENT ROW)",
-    "t3_seeded_order": "SELECT rec_id FROM bert_finetune_cls ORDER BY md5(CAST(rec_id AS VARCHAR) || '|7'), rec_id LIMIT 100",
+    "t3_seeded_order": "SELECT rec_id, row_number() OVER (ORDER BY md5(CAST(rec_id AS VARCHAR) || '|7'), rec_id) - 1 AS position FROM bert_finetune_cls",
     "t4_tail": "SELECT bar_id, ts_utc FROM prices_m1 WHERE ticker = 'XAUUSD' ORDER BY ts_utc DESC NULLS LAST, bar_id DESC LIMIT 1000",
-    "t5_quotas": "SELECT CASE WHEN h < 20 THEN 1 WHEN h < 32 THEN 2 WHEN h < 50 THEN 3 WHEN h < 60 THEN 4 WHEN h < 72 THEN 5 WHEN h < 87 THEN 6 ELSE 7 END AS kind, count(*) AS n FROM (SELECT CAST('0x' || substr(md5(CAST(rec_id AS VARCHAR) || '|7'), 1, 8) AS BIGINT) % 100 AS h FROM bert_finetune_cls) GROUP BY 1",
+    "t5_quotas": f"""WITH {_I}, {_P}, r AS (SELECT news_id FROM p WHERE abs(r5) > 0.002 AND ((r5 > 0 AND r15 < -0.0003) OR (r5 < 0 AND r15 > 0.0003))),
+ h AS (SELECT news_id, source, md5(CAST(news_id AS VARCHAR) || '|7') AS h FROM news_items),
+ f AS (SELECT news_id, row_number() OVER (ORDER BY h, news_id) - 1 AS k FROM h WHERE source LIKE '%flash%'),
+ c AS (SELECT news_id, row_number() OVER (ORDER BY h, news_id) - 1 AS k FROM h WHERE source LIKE '%calendar%'),
+ v AS (SELECT news_id, row_number() OVER (ORDER BY h, news_id) - 1 AS k FROM h WHERE news_id IN (SELECT news_id FROM r)),
+ q AS (SELECT news_id, CASE WHEN k < 100 THEN 'sentiment' WHEN k < 160 THEN 'json_news' WHEN k < 235 THEN 'multi_window' ELSE 'risk' END AS kind FROM f WHERE k < 300
+  UNION ALL SELECT news_id, CASE WHEN k < 90 THEN 'calendar' ELSE 'calendar_json' END FROM c WHERE k < 140 UNION ALL SELECT news_id, 'priced_in' FROM v WHERE k < 60)
+SELECT * FROM q UNION ALL SELECT news_id, ['sentiment', 'json_news', 'multi_window', 'risk'][(k - 300) % 4 + 1] FROM f WHERE k >= 300 AND k < least(500, 300 + 500 - (SELECT count(*) FROM q))""",
     "flagship": f"""
 WITH {_I}, {_A1},
  f AS (SELECT n.news_id, n.ts, i.ret, a1.trend_tag, CASE WHEN n.ts < TIMESTAMP '2025-10-08' THEN 'train' ELSE 'test' END AS part

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,17 +35,44 @@ def first_deliveries(events: DataFrame, key: str, late_minutes: int = 10) -> Dat
     return events.dropDuplicates([key])
 
 
-def upsert_sink(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: version n + 1 of a table is version n merged with the batch.
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-    Versions are folders named by the batch, so a repeated batch writes the same
-    folder again and the result stays exactly-once.
+
+def upserted_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table an `upsert_sink` keeps: each bucket's last version, or its last one before a batch; null where there is none.
+
+    Version and bucket are folders, so which ones count is found without reading rows.
+    """
+    every = _versions(spark, path)
+    if every is None:
+        return None
+    if before is not None:
+        every = every.where(F.col("version") < before)
+    last = every.groupBy("bucket").agg(F.max("version").alias("version"))
+    return every.join(F.broadcast(last), ["bucket", "version"], "left_semi").drop("version")  # a row a bucket
+
+
+def upsert_sink(path: str, key: Column, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: the buckets of keys that a batch touches are merged with it and written as that batch's version.
+
+    Buckets without a row in the batch are not read or written. A repeated batch
+    merges with what was before it and writes the same folder again, so the
+    result stays exactly-once.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{epoch - 1}") if epoch else None
-        new = merge(old if old is not None else batch.limit(0), batch)
-        new.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        b = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        old = upserted_table(batch.sparkSession, path, epoch)
+        if old is None:
+            old = b.limit(0)
+        touched = F.broadcast(b.select("bucket").distinct())  # at most ``buckets`` rows
+        new = merge(old.join(touched, "bucket", "left_semi").select(*b.columns), b)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={epoch}")
 
     return run
