@@ -138,6 +138,11 @@ def trend(pre: Column, vol: Column, profile: str) -> Column:
             .when((F.abs(pre) < mild) & (vol > v), "High Volatility").otherwise("Sideways"))
 
 
+def stars(star: Column) -> Column:
+    """1 to 5; a missing number of stars is 1."""
+    return F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(F.nullif(star.cast("double"), F.lit(float("nan"))).cast("int"), F.lit(1))))
+
+
 def softmax(scores: Column) -> Column:
     e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))

@@ -37,6 +37,30 @@ def summary(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return a.crossJoin(F.broadcast(m)).select("n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
+def report(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """(label, precision, recall, f1, support) of every label seen as truth or prediction, then macro, weighted and accuracy.
+
+    One pass counts pairs of labels; what follows works on those few rows. A zero
+    divisor gives 0; the accuracy stands in all three columns.
+    """
+    n = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).agg(F.count("*").alias("n"))
+    sides = n.select(F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("np"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("np"), F.lit(0).cast("bigint").alias("tp")))).alias("s")).select("s.*")
+    c = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("np").alias("np"), F.sum("tp").alias("tp"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    c = c.withColumns({"precision": ratio(F.col("tp"), F.col("np")), "recall": ratio(F.col("tp"), F.col("support"))})
+    names = ["precision", "recall", "f1"]
+    c = c.withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
+    six = lambda x, name: F.round(x, 6).alias(name)
+    total = F.sum("support")
+    last = c.agg(F.array(
+        F.struct(F.lit("macro").alias("label"), *[six(F.avg(x), x) for x in names], total.alias("support")),
+        F.struct(F.lit("weighted").alias("label"), *[six(F.sum(F.col(x) * F.col("support")) / total, x) for x in names], total.alias("support")),
+        F.struct(F.lit("accuracy").alias("label"), *[six(F.sum("tp") / total, x) for x in names], total.alias("support"))).alias("a"))
+    return c.select("label", *[six(F.col(x), x) for x in names], "support").unionAll(last.select(F.explode("a").alias("r")).select("r.*"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): N / (K n), 0 for a class without rows."""
     cols = [F.struct(F.lit(x).alias("label"), F.count_if(F.col(label) == x).alias("n")) for x in LABELS]

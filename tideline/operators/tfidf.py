@@ -39,7 +39,7 @@ def transform(df: DataFrame, model: DataFrame, key: str, text: str, low: int = 2
 
 
 def linear_classifier(train: DataFrame, text: str, label: str, features: int = 1 << 18, low: int = 2, high: int = 4, reg: float = 1e-3, rounds: int = 20):
-    """A fitted pipeline: hashed n-gram TF-IDF and one linear SVM a class. Labels are numbers from 0."""
+    """A fitted pipeline: hashed n-gram TF-IDF and one linear SVM a class, rows weighted so that classes count alike. Labels are numbers from 0."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, OneVsRest
     from pyspark.ml.feature import IDF, HashingTF
@@ -47,6 +47,10 @@ def linear_classifier(train: DataFrame, text: str, label: str, features: int = 1
     p = Pipeline(stages=[
         HashingTF(inputCol="grams", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features", minDocFreq=3),
-        OneVsRest(classifier=LinearSVC(maxIter=rounds, regParam=reg), labelCol=label, featuresCol="features", predictionCol="pred"),
+        OneVsRest(classifier=LinearSVC(maxIter=rounds, regParam=reg), labelCol=label, featuresCol="features", predictionCol="pred", weightCol="weight"),
     ])
+    n = train.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    weight = n.crossJoin(F.broadcast(total)).select("__l", (F.col("total") / (F.col("kinds") * F.col("n"))).alias("weight"))
+    train = train.join(F.broadcast(weight), F.col(label) == F.col("__l")).drop("__l")  # a row a class
     return p.fit(train.withColumn("grams", grams(F.coalesce(text, F.lit("")), low, high)))

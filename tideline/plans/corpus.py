@@ -208,8 +208,23 @@ _GRAMS = """
  g AS (SELECT rec_id, split, substr(text, CAST(i AS BIGINT), 2) AS term FROM t, LATERAL (SELECT unnest(generate_series(1, length(text) - 1)) AS i) u),
  f AS (SELECT rec_id, split, term, count(*) AS tf FROM g GROUP BY ALL),
  m AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM t WHERE split = 'train')) / (1.0 + count(*))) + 1 AS idf FROM f WHERE split = 'train' GROUP BY term HAVING count(*) >= 3)"""
+_ALL_GRAMS = """
+ t AS (SELECT rec_id, split, lower(coalesce(text, '')) AS text FROM bert_finetune_cls),
+ g AS (SELECT rec_id, split, substr(text, CAST(i AS BIGINT), n) AS term FROM t, (VALUES (2), (3), (4)) v(n), LATERAL (SELECT unnest(generate_series(1, length(text) - n + 1)) AS i) u),
+ f AS (SELECT rec_id, split, term, count(*) AS tf FROM g GROUP BY ALL),
+ m AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM t WHERE split = 'train')) / (1.0 + count(*))) + 1 AS idf FROM f WHERE split = 'train' GROUP BY term HAVING count(*) >= 3
+  ORDER BY sum(tf) DESC, term LIMIT 200000)"""
+
+
+def _clean_page(c: str) -> str:
+    quote = lambda p: p.replace("'", "''")
+    for p in (*T.CUTS, T.KEPT):
+        c = f"regexp_replace({c}, '{quote(p)}', '', 'g')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
 
 SQL = {
+    "x2_clean_pages": f"SELECT citation_id, md5({_clean_page('text')}) AS digest FROM citations",
     "f1_text_fallback": "SELECT news_id, coalesce(nullif(content, ''), name, '') AS text FROM news_items",
     "f2_first_text": f"SELECT rec_id, {_FIRST(['text', 'content', 'name'])} AS text FROM bert_finetune_cls",
     "x1_strip_html": "SELECT row_id, trim(regexp_replace(content, '<[^>]+>', '', 'g')) AS text FROM flash",
@@ -243,6 +258,8 @@ SELECT coalesce(a, b) AS mood, count(*) AS n FROM s GROUP BY 1""",
     "t2_topk": _TOP.format(where="true"),
     "f13_filtered_topk": _TOP.format(where="label = 3"),
     "m16_normalised": "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS total FROM embeddings",
+    "l1_tfidf_idf_2_4": f"WITH {_ALL_GRAMS} SELECT term, df, round(idf, 6) AS idf FROM m",
+    "l1_tfidf_weights_2_4": f"WITH {_ALL_GRAMS}, w AS (SELECT rec_id, tf * idf AS w FROM f JOIN m USING (term) WHERE split = 'test') SELECT rec_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 5) AS total, round(max(w) / sqrt(sum(w * w)), 5) AS top FROM w GROUP BY rec_id",
     "l1_tfidf_idf": f"WITH {_GRAMS} SELECT term, df, round(idf, 6) AS idf FROM m",
     "l1_tfidf_weights": f"WITH {_GRAMS}, w AS (SELECT rec_id, tf * idf AS w FROM f JOIN m USING (term) WHERE split = 'test') SELECT rec_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 5) AS total, round(max(w) / sqrt(sum(w * w)), 5) AS top FROM w GROUP BY rec_id",
 }

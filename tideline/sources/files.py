@@ -41,6 +41,12 @@ def response_rows(raw: Column, schema: str) -> Column:
     return F.coalesce(*real)
 
 
+def next_cursor(rows: Column) -> Column:
+    """(max_time, last_id) of the page after this one: time and id of the last row; nulls where there is none."""
+    last = F.get(rows, F.size(rows) - 1)
+    return F.struct(last["time"].alias("max_time"), last["id"].alias("last_id"))
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "append", by: list[str] | None = None) -> None:
     """Fixed columns with a header in each part file."""
     w = df.select(*columns).write.mode(mode).option("header", True).option("escape", '"')
