@@ -40,6 +40,7 @@ e-mail, number, address, name has them.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -180,24 +181,34 @@ _STREET_ENDS = frozenset(_STREETS.lower().split("|"))
 _NO_NAME |= _STREET_ENDS
 _LETTER = "[^\\W\\d_]"
 _CAP = f"(?:[A-ZÀ-ÖØ-ÞĀ-Ž]['’])?[A-ZÀ-ÖØ-ÞĀ-Ž](?:{_LETTER}|[̀-ͯ'’])+(?:-(?:[A-ZÀ-ÖØ-ÞĀ-Ž]['’])?[A-ZÀ-ÖØ-ÞĀ-Ž](?:{_LETTER}|[̀-ͯ'’])+)*"
-_WORD = re.compile(rf"(?<![\w@.])(?:{_CAP}(?![\w@])|[A-Z]\.(?=[  ]))")
+# a word begins behind no word character, @ or dot; that is looked at where a capital stands, not at every character
+_WORD = re.compile(rf"(?:{_CAP}(?![\w@])|[A-Z]\.(?=[  ]))")
 _GAP = re.compile(r"[  ]{1,3}\Z")
 _COMMA = re.compile(r",[  ]{1,2}\Z")
 _LISTED = re.compile(r",\s{1,2}[A-ZÀ-ÖØ-ÞĀ-Ž]")
 _TOKEN = re.compile(r"\n|[^\W_]+(?:['’\-][^\W_]+)*|[^\s\w]|_")
+_NUMBER = re.compile(r"\d+")
 _HAN = "[一-鿿]"
 
 
-def part_key(token: str) -> list[str]:
+@functools.lru_cache(200_000)
+def part_key(token: str) -> tuple[str, ...]:
     """Name parts of a token: no case, no marks, no O', hyphens apart."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).lower().replace("’", "'")
-    return [x.split("'", 1)[1] if x[1:2] == "'" else x for x in flat.split("-")]
+    flat = token.lower()
+    if not token.isascii():
+        flat = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).lower().replace("’", "'")
+    return tuple(x.split("'", 1)[1] if x[1:2] == "'" else x for x in flat.split("-"))
+
+
+def _form(token: str) -> str:
+    """A token as patterns have it: lower case, runs of digits alike."""
+    return token.lower() if token.isalpha() else _NUMBER.sub("9", token.lower())
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Patterns around a span: two words to the left, two to the right, one on each side."""
-    left = [re.sub(r"\d+", "9", x.lower()) for x in _TOKEN.findall(text[max(0, start - 40) : start])][-2:]
-    right = [re.sub(r"\d+", "9", x.lower()) for x in _TOKEN.findall(text[end : end + 40])][:2]
+    left = [_form(x) for x in _TOKEN.findall(text[max(0, start - 40) : start])[-2:]]
+    right = [_form(x) for x in _TOKEN.findall(text[end : end + 40])[:2]]
     if start <= 40:
         left = ["^", "^", *left][-2:]
     if len(text) - end <= 40:
@@ -238,10 +249,21 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+def capital_words(text: str) -> Iterator[re.Match]:
+    at = 0
+    while m := _WORD.search(text, at):
+        i = m.start()
+        if i and ((x := text[i - 1]) in "@._" or x.isalnum()):
+            at = i + 1
+        else:
+            yield m
+            at = m.end()
+
+
 def capital_runs(text: str, words: Words) -> list[list[re.Match]]:
     """Capital words that stand side by side, without those that are no part of a name."""
     runs: list[list[re.Match]] = []
-    for m in _WORD.finditer(text):
+    for m in capital_words(text):
         initial = len(m[0]) == 2 and m[0][1] == "."
         stop, ends = (False, False) if initial else words.of(m[0].lower().rstrip("."))
         beside = bool(runs and runs[-1] and _GAP.match(text, runs[-1][-1].end(), m.start()))
@@ -313,12 +335,11 @@ def _edge(s: str, side: int) -> str:
     if not s:
         return "\n"
     x = s[-1] if side < 0 else s[0]
-    if re.match(_HAN, x) and side > 0:
+    if side > 0 and "一" <= x <= "鿿":
         return s[:2]
     return "9" if x.isdigit() else x
 
 
-_LOWER = re.compile(r"(?<![^\s(])[a-zß-öø-ÿ]{2,40}(?=[\s,.;:!?)])(?!\s?[\[({@＠])")
 #: Surroundings of a lower-case word are told apart by so many classes of the word before it.
 _CLASSES = 16
 
@@ -334,6 +355,7 @@ def _evidence(surnames: frozenset[str], known: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(known)
         for b in batches:
+            classes: dict[str, str] = {}
             rows: set[tuple[str, str, str, str]] = set()
             for t in b.column("text").to_pylist():
                 for m in find.finditer(t) if find else ():
@@ -348,10 +370,17 @@ def _evidence(surnames: frozenset[str], known: frozenset[str]):
                             name = [y[0].lower().rstrip(".") for y in rest]
                             if any(p in known for y in name for p in part_key(y)) and not all(p in known for p in part_key(x[0])):
                                 rows.add(("o", x[0].lower(), " ".join(name), ""))
-                before = ""
-                for m in _LOWER.finditer(t):
-                    rows.add(("l", m[0], str(_word_hash(before) % _CLASSES), ""))
-                    before = m[0]
+                before, tokens = "", t.split()
+                for i, x in enumerate(tokens):
+                    if not x.islower():
+                        continue
+                    w = x.lstrip("(").rstrip(",.;:!?)")
+                    # not before what may spell an address out
+                    if w.isalpha() and 1 < len(w) <= 40 and w < "\u0250" and (i + 1 == len(tokens) or tokens[i + 1][0] not in "[({@＠"):
+                        if (c := classes.get(before)) is None:
+                            c = classes[before] = str(_word_hash(before) % _CLASSES)
+                        rows.add(("l", w, c, ""))
+                        before = w
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in cols], ["k", "c", "l", "after"])
 
@@ -455,11 +484,23 @@ def given_names(around: DataFrame) -> tuple[str, str]:
     return first, "".join(sorted({*first, *(r.x for r in more)}))
 
 
-def chinese_names(text: str, find: re.Pattern, patterns: frozenset[tuple[str, str]], surnames: frozenset[str]) -> list[tuple[int, int, str, str, int]]:
+class GivenNames:
+    """Windows of one Chinese character before one or two characters of given names, as far right as they go."""
+
+    def __init__(self, first: str, second: str) -> None:
+        self.first, self.second = re.compile(f"[{first}]"), frozenset(second)
+
+    def windows(self, text: str) -> Iterator[tuple[int, int]]:
+        for m in self.first.finditer(text):
+            s, e = m.start() - 1, m.end()
+            if s >= 0 and "一" <= text[s] <= "鿿":
+                yield s, e + (e < len(text) and text[e] in self.second)
+
+
+def chinese_names(text: str, given: GivenNames, patterns: frozenset[tuple[str, str]], surnames: frozenset[str]) -> list[tuple[int, int, str, str, int]]:
     """(start, end, surname, pattern, known) of spans a pattern or a seed surname holds."""
     out = []
-    for m in find.finditer(text):
-        s, e = m.span(1)
+    for s, e in given.windows(text):
         p = (_edge(text[max(0, s - 4) : s], -1), _edge(text[e : e + 6], 1))
         known = text[s] in surnames
         if known or p in patterns:
@@ -469,15 +510,14 @@ def chinese_names(text: str, find: re.Pattern, patterns: frozenset[tuple[str, st
 
 def _windows(first: str, second: str, patterns: frozenset[tuple[str, str]]):
     """(surname, pattern or null, the text around) of windows of one character and given-name characters."""
-    find = re.compile(f"(?=({_HAN}[{first}][{second}]?))")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = GivenNames(first, second)
         for b in batches:
             seen: set[tuple[str, str | None, str]] = set()
             for text in b.column("text").to_pylist():
                 end = -1
-                for m in find.finditer(text):
-                    s, e = m.span(1)
+                for s, e in given.windows(text):
                     if s < end:
                         continue
                     p = (_edge(text[max(0, s - 4) : s], -1), _edge(text[e : e + 6], 1))
@@ -496,9 +536,7 @@ _PROPOSED = "doc_id bigint, kind string, value string, sure boolean, key string,
 
 
 def _propose(words: Words, surnames: frozenset[str], first: str, second: str, patterns: frozenset[tuple[str, str]]):
-    if first:
-        # every Chinese character before one or two given-name characters, as far right as they go
-        zh = re.compile(f"(?=({_HAN}[{first}][{second}]?))")
+    given = GivenNames(first, second) if first else None
 
     def of(text: str) -> list[list]:
         # sure, key, seed (0: unknown, 1: a part is known, 2: all are), patterns, places
@@ -532,9 +570,9 @@ def _propose(words: Words, surnames: frozenset[str], first: str, second: str, pa
             if free(s, e):
                 kind_of = "c" if text[s:e].isupper() else "n"  # capitals have patterns of their own
                 offer("name", s, e, False, "n " + key, min(2, n) if n < 2 or n >= len(key.split()) else 1, [kind_of + x for x in contexts(text, s, e)], False)
-        if first:
+        if given:
             end = -1
-            for s, e, key, p, n in chinese_names(text, zh, patterns, surnames):
+            for s, e, key, p, n in chinese_names(text, given, patterns, surnames):
                 if s >= end:
                     end = e
                     if free(s, e):
