@@ -64,13 +64,14 @@ def _search(q: DataFrame, c: DataFrame, k: int, max_shipped: int) -> DataFrame:
     part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(max(1, n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
     left = q.withColumns({"i": part("query_id", rows), "j": every(cols)})
-    right = c.withColumns({"i": every(rows), "j": part("id", cols)})
+    # names and attributes of its own: both sides may come from one table
+    right = c.select(F.col("id").alias("row_id"), F.transform("vector", lambda x: x.cast("double")).alias("stored"), every(rows).alias("i"), part("id", cols).alias("j"))
 
     def cell(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         return pa.Table.from_batches([_best(
-            a.column("query_id").to_numpy(), _vectors(a.column("vector")), b.column("id").to_numpy(), _vectors(b.column("vector")), k, np.full(a.num_rows, np.inf))])
+            a.column("query_id").to_numpy(), _vectors(a.column("vector")), b.column("row_id").to_numpy(), _vectors(b.column("stored")), k, np.full(a.num_rows, np.inf))])
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, _HITS)
 

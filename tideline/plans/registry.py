@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.plans import corpus, events, extras, general, reports, streams
+from tideline.plans import corpus, events, exports, extras, general, reports, streams
 
-_MODULES = [general, events, corpus, streams, extras, reports]
+_MODULES = [general, events, corpus, streams, extras, reports, exports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
