@@ -12,7 +12,7 @@ that end with a low one take back a name of which a seed knows only a part.
 
 Which capital words are no part of a name is learned too, from the whole corpus:
 words that also stand in lower case in several surroundings, words that stand
-before whole names rather than before a part of one, and words that end two-word spans whose other words the seeds know far less often than they know
+before or behind whole names rather than before a part of one, and words that end two-word spans whose other words the seeds know far less often than they know
 the partners of names (the words that end firms' names). A word the seeds know,
 or one that stands beside known parts as often as names do, is no such word. Only
 closed classes are given: titles, pronouns, articles, prepositions, months and
@@ -348,7 +348,7 @@ def _evidence(surnames: frozenset[str], known: frozenset[str]):
     """First pass, distinct rows (k, c, l, after) of a batch.
 
     k = z: seed surname, sign on the left, what follows. k = w: the two words of a span of two capital words.
-    k = o: an unknown capital word, and the two after it of which one is known. k = l: lower-case word, class of the word before it.
+    k = o: an unknown capital word, and the two after it of which one is known; k = t: the same with the two before it. k = l: lower-case word, class of the word before it.
     """
     find = re.compile("[" + "".join(sorted(surnames)) + f"](?={_HAN})") if surnames else None
 
@@ -370,6 +370,9 @@ def _evidence(surnames: frozenset[str], known: frozenset[str]):
                             name = [y[0].lower().rstrip(".") for y in rest]
                             if any(p in known for y in name for p in part_key(y)) and not all(p in known for p in part_key(x[0])):
                                 rows.add(("o", x[0].lower(), " ".join(name), ""))
+                            first = x[0].lower()
+                            if any(p in known for y in (first, name[0]) for p in part_key(y)) and not all(p in known for p in part_key(name[1])):
+                                rows.add(("t", name[1], first, name[0]))
                 before, tokens = "", t.split()
                 for i, x in enumerate(tokens):
                     if not x.islower():
@@ -408,7 +411,12 @@ def learned_words(evidence: DataFrame, known: frozenset[str]) -> tuple[np.ndarra
     whole = evidence.where("k = 'o'").groupBy(F.col("c").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     alone = spans.where("kb").groupBy(F.col("a").alias("w")).agg(F.count("*").alias("alone"))
     roles = whole.join(alone, "w", "left").where(F.col("n") > F.coalesce("alone", F.lit(0))).select("w")
-    common = common.select("w").join(beside, "w", "left_anti").unionAll(roles).distinct()
+    common = cut(common.select("w").join(beside, "w", "left_anti").unionAll(roles).distinct())
+    # and words behind whole names, unless what stands before is itself a role and a part of the name
+    behind = evidence.where("k = 't'").select(F.col("c").alias("v"), F.col("l").alias("w"), "after").join(common, "w", "left_anti")
+    behind = behind.groupBy(F.col("v").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    family = spans.where("ka").groupBy(F.col("b").alias("w")).agg(F.count("*").alias("alone"))
+    common = common.unionAll(behind.join(family, "w", "left").where(F.col("n") > F.coalesce("alone", F.lit(0))).select("w")).distinct()
     out = []
     for words in (common, ends):
         rows = words.limit(MAX_WORDS + 1).toArrow().column("w").to_pylist()
