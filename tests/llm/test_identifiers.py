@@ -70,6 +70,7 @@ def test_name_spans():
     names = lambda t: [t[a:b] for a, b, *_ in I.latin_names(t, words)]
     assert names("By Oskova O'Umeetti today") == ["Oskova O'Umeetti"]
     assert names("for Hultetti, Solis; call") == ["Hultetti, Solis"]
+    assert names("for Analyst Walker, June; call") == ["Walker, June"]  # two known parts beat one
     assert names("Mr Ketel Q. Nylund-Zel of") == ["Ketel Q. Nylund-Zel"]
     assert names("by Tornimum Bank Loris Hult") == ["Loris Hult"]
     assert names("Overnight, Vennimark Steel fell") == []

@@ -292,16 +292,29 @@ def latin_names(text: str, words: Words, places: frozenset[int] | set[int] = fro
         if parts and sum(len(p) > 1 for p in parts):
             out.append((ms[0].start(), ms[-1].end(), " ".join(sorted(parts)), sum(p in known for p in parts)))
 
+    score = lambda u: sum(p in known for m in u for p in part_key(m[0].rstrip(".")))
+
+    def listed(n: int) -> list[re.Match]:
+        """Family name, comma, given name, where run n ends with the one and the next run is the other."""
+        nxt = runs[n + 1] if n + 1 < len(runs) else []
+        last = runs[n][-1]
+        if not nxt or last[0][-1] == "." or nxt[0][0][-1] == "." or not _COMMA.match(text, last.end(), nxt[0].start()):
+            return []
+        return [last, *nxt] if len(nxt) == 1 or len(nxt) == 2 and nxt[1][0][-1] == "." else []
+
     for n, run in enumerate(runs):
         if not run:
             continue
+        turned = listed(n)
         if len(run) == 1:
-            nxt = runs[n + 1] if n + 1 < len(runs) else []
-            if nxt and run[0][0][-1] != "." and _COMMA.match(text, run[0].end(), nxt[0].start()) and (
-                len(nxt) == 1 or len(nxt) == 2 and nxt[1][0][-1] == "."
-            ) and nxt[0][0][-1] != ".":
-                offer([run[0], *nxt])
+            if turned:
+                offer(turned)
             continue
+        if turned and score(turned) > score(run[-2:]):  # a word before a name that is written the other way round
+            offer(turned)
+            run = run[:-1]
+            if len(run) == 1:
+                continue
         # given name, initials, family name; longer runs hold several
         units: list[list[re.Match]] = []
         i = 0
@@ -313,7 +326,6 @@ def latin_names(text: str, words: Words, places: frozenset[int] | set[int] = fro
                 units.append(run[i : j + 1])
             i += 1
         best: list[list[re.Match]] = []
-        score = lambda u: sum(p in known for m in u for p in part_key(m[0].rstrip(".")))
         if run[0].start() in places:  # the town after a street
             units = [u for u in units if u[0] is not run[0]]
         initial = lambda u: u[0] is run[0] and u[0][0][-1] == "."
