@@ -72,21 +72,29 @@ def hot_keys(df: DataFrame, keys: list[str], name: str = "salts", hot: int = HOT
     return n.crossJoin(F.broadcast(most)).where("count > most").select(*keys, F.ceil(F.col("count") / F.col("most")).cast("int").alias(name))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by_left: Column, by_right: Column | None = None, hot: int = HOT) -> DataFrame:
+def hot_rows(left: DataFrame, keys: list[str], right: DataFrame | None = None, hot: int = HOT) -> DataFrame | None:
+    """(keys, __a, __b): salts of the keys that are hot on either side, counted at once; None where there is none."""
+    h = hot_keys(left, keys, "__a", hot)
+    h = h.withColumn("__b", F.lit(1)) if right is None else h.join(hot_keys(right, keys, "__b", hot), keys, "full")
+    rows = h.collect()  # fewer than HOT_KEYS of either side
+    return left.sparkSession.createDataFrame(rows, h.schema) if rows else None
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], by_left: Column, by_right: Column | None = None, hot: int = HOT, rows: DataFrame | None | bool = False,
+) -> DataFrame:
     """Inner equi-join on keys that may be hot on either side; ``by_left``, ``by_right``: what rows are spread by.
 
-    Which keys are hot is counted first, so inputs should be cheap to read twice;
-    where none is, which is usual, the join is a plain one. Rows of a key hot on
-    the left are spread over salts and their partners repeated; with ``by_right``
-    the same holds the other way round, so a task has at most ``hot`` rows of
-    either side. Without it each key is once on the right.
+    Which keys are hot is counted first (or given as ``rows``), so inputs should be
+    cheap to read twice; where none is, which is usual, the join is a plain one.
+    Rows of a key hot on the left are spread over salts and their partners
+    repeated; with ``by_right`` the same holds the other way round, so a task has
+    at most ``hot`` rows of either side. Without it each key is once on the right.
     """
-    h = hot_keys(left, keys, "__a", hot)
-    h = h.withColumn("__b", F.lit(1)) if by_right is None else h.join(hot_keys(right, keys, "__b", hot), keys, "full")
-    rows = h.collect()  # fewer than HOT_KEYS of either side
-    if not rows:
+    h = hot_rows(left, keys, None if by_right is None else right, hot) if rows is False else rows
+    if h is None:
         return left.join(right, keys)
-    h = F.broadcast(left.sparkSession.createDataFrame(rows, h.schema))
+    h = F.broadcast(h)
     a, b = F.coalesce("__a", F.lit(1)), F.coalesce("__b", F.lit(1))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     lf = left.join(h, keys, "left").withColumns({"__i": F.pmod(by_left, a).cast("int"), "__j": every(b)}).drop("__a", "__b")
