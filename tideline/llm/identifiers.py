@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import cut, salted_join, spread
+from tideline.session import cut, hot_rows, salted_join, spread
 
 MAX_SEEDS = 100_000
 MAX_PATTERNS = 200_000
@@ -359,7 +359,7 @@ _CLASSES = 16
 def _evidence(surnames: frozenset[str], known: frozenset[str]):
     """First pass, distinct rows (k, c, l, after) of a batch.
 
-    k = z: seed surname, sign on the left, what follows. k = w: the two words of a span of two capital words.
+    k = z: seed surname, sign on the left, what follows. k = w: the two words of a span of two capital words, and for each 1 if the seeds know it.
     k = o: an unknown capital word, and the two after it of which one is known; k = t: the same with the two before it. k = l: lower-case word, class of the word before it.
     """
     find = re.compile("[" + "".join(sorted(surnames)) + f"](?={_HAN})") if surnames else None
@@ -376,7 +376,8 @@ def _evidence(surnames: frozenset[str], known: frozenset[str]):
                 for r in capital_runs(t, words):
                     # before a comma and a capital word the last word may begin a name of its own
                     if len(r) == 2 and r[0][0][-1] != "." and r[1][0][-1] != "." and not _LISTED.match(t, r[1].end()):
-                        rows.add(("w", r[0][0].lower(), r[1][0].lower(), ""))
+                        a, b = (x[0].lower() for x in r)
+                        rows.add(("w", a, b, "".join(str(int(all(p in known for p in part_key(x)))) for x in (a, b))))
                     for x, *rest in zip(r, r[1:], r[2:]):
                         if x[0][-1] != "." and all(y[0][-1] != "." for y in rest):
                             name = [y[0].lower().rstrip(".") for y in rest]
@@ -402,12 +403,10 @@ def _evidence(surnames: frozenset[str], known: frozenset[str]):
     return run
 
 
-def learned_words(evidence: DataFrame, known: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+def learned_words(evidence: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words that also stand in lower case or before whole names, and of those that end names of firms."""
-    spans = evidence.where("k = 'w'").select(F.col("c").alias("a"), F.col("l").alias("b"))
-    once = spans.select(F.explode(F.array("a", "b")).alias("w")).distinct().mapInArrow(_flag_known(known), "w string, known boolean")
-    a, b = once.select(F.col("w").alias("a"), F.col("known").alias("ka")), once.select(F.col("w").alias("b"), F.col("known").alias("kb"))
-    spans = cut(salted_join(salted_join(spans, a, ["a"], F.xxhash64("b")), b, ["b"], F.xxhash64("a")))
+    flag = lambda i: F.substring("after", i, 1) == "1"
+    spans = evidence.where("k = 'w'").select(F.col("c").alias("a"), F.col("l").alias("b"), flag(1).alias("ka"), flag(2).alias("kb"))
     # how many partners of a known last word the seeds know: what a name's partners would be
     base = spans.where("kb").agg(F.avg(F.col("ka").cast("double")).alias("c")).first()["c"] or 0.0
     last = spans.groupBy("b").agg(F.count("*").alias("n"), F.count_if("ka").alias("hit"), F.first("kb").alias("kb"))
@@ -438,15 +437,6 @@ def learned_words(evidence: DataFrame, known: frozenset[str]) -> tuple[np.ndarra
     return out[0], out[1]
 
 
-def _flag_known(known: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flags = [all(p in known for p in part_key(w)) for w in b.column("w").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("w"), pa.array(flags, pa.bool_())], ["w", "known"])
-
-    return run
-
-
 def _right(rest: Column) -> Column:
     """The sign on the right, as `_edge` has it, of what follows a name."""
     rest = F.regexp_replace(rest, "^[ 　\xa0\\t\\r]+", "")
@@ -614,15 +604,16 @@ def scored(proposed: DataFrame) -> DataFrame:
     edges = proposed.where("not sure").select("key", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
     edges = cut(edges.groupBy("key", "pattern").agg((F.max("seed") > 0).alias("seed")))
     worth = edges.groupBy("key").agg(F.max("seed").cast("double").alias("worth"))
+    # a key or a pattern may hold a third of all edges; which ones are hot is the same in all rounds
+    hot_key, hot_pattern = (hot_rows(edges, [c]) for c in ("key", "pattern"))
     for i in range(ROUNDS):
-        # a key or a pattern may hold a third of all edges: keys spread by pattern, the table of keys has each once
-        held = salted_join(edges, worth, ["key"], F.xxhash64("pattern"))
+        held = salted_join(edges, worth, ["key"], F.xxhash64("pattern"), rows=hot_key)
         score = held.groupBy("pattern").agg(F.avg("worth").alias("score"), F.count("*").alias("n"))
         # a Chinese pattern holds few surnames; one with a seed among them counts
         score = score.where((F.col("n") >= SUPPORT) | F.col("pattern").startswith("zh ")).select("pattern", "score")
         if i == ROUNDS - 1:
             return cut(score)
-        best = salted_join(edges, score, ["pattern"], F.xxhash64("key")).groupBy("key").agg(F.max("score").alias("best"))
+        best = salted_join(edges, score, ["pattern"], F.xxhash64("key"), rows=hot_pattern).groupBy("key").agg(F.max("score").alias("best"))
         worth = worth.join(best, "key", "left").select("key", F.greatest("worth", F.coalesce("best", F.lit(0.0))).alias("worth"))
         worth = cut(worth)
     return score
@@ -638,7 +629,7 @@ def _learned(docs: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Words, froze
     surnames = frozenset(r.name_part for r in rows if r.name_kind == "family" and re.fullmatch(_HAN, r.name_part))
 
     evidence = cut(d.select("text").mapInArrow(_evidence(surnames, known), "k string, c string, l string, after string").distinct())
-    words = Words(known, *learned_words(evidence, known))
+    words = Words(known, *learned_words(evidence))
     around = evidence.where("k = 'z'").select("c", "l", "after")
     first, second = given_names(around)
     patterns: frozenset[tuple[str, str]] = frozenset()
