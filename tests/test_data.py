@@ -135,6 +135,15 @@ def test_paged_source(spark, tmp_path):
     assert spark.table("paged_out").count() == 6
 
 
+def test_paged_source_stops_at_the_cutoff(spark, tmp_path):
+    for i, days in enumerate([("09", "08"), ("07", "05"), ("04", "03"), ("09",)]):
+        (tmp_path / f"{i}.json").write_text("\n".join(json.dumps({"id": d, "time": f"2025-01-{d}"}) for d in days))
+    spark.dataSource.register(pages.PagedSource)
+    src = spark.readStream.format("paged").option("path", str(tmp_path)).option("cutoff", "2025-01-06").load()
+    src.writeStream.format("memory").queryName("paged_cut").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(json.loads(r.value)["id"] for r in spark.table("paged_cut").collect()) == ["07", "08", "09"]
+
+
 def test_analyse_events(spark):
     bars = spark.createDataFrame([("T", datetime(2025, 1, 1, 10, m), 100.0 + m, 101.0 + m, 99.0, 100.0 + m) for m in range(3)], "ticker string, ts_utc timestamp_ntz, open double, high double, low double, close double")
     e = spark.createDataFrame([(1, "T", datetime(2025, 1, 1, 11), "gold rally"), (2, "U", datetime(2025, 1, 1, 11), None)], "id bigint, ticker string, t timestamp_ntz, text string")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def article_key() -> Column:
-    """The URL; without one the content's hash in its site, source and time (nulls compare as empty)."""
+    """The URL; without one the content's hash in its site, source and time (nulls compare as empty).
+
+    In the second case hash and time are the key itself, so an update never changes them.
+    """
     url = F.nullif(F.trim("url"), F.lit(""))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return F.when(url.isNotNull(), F.concat(F.lit("u|"), F.col("url"))).otherwise(

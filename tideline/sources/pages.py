@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import json
+import os
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,8 +36,11 @@ def stars(html: Column) -> Column:
 class PagedSource(DataSource):
     """Pages of numbered JSON lines files as a stream; the cursor is the offset.
 
-    Options: ``path``, a folder with files 0.json, 1.json, ...; one file is one
-    page. A web client would replace ``_pages`` and ``read``.
+    Options: ``path``, a folder with files 0.json, 1.json, ... that driver and
+    executors share, newest rows first as an API gives them, one file a page; and
+    ``cutoff``, a time: rows before it are left out, and the first page without a
+    row at or after it is the last that is asked for. Rows without a time stay. A
+    web client would replace `_pages` and `read`.
     """
 
     @classmethod
@@ -46,17 +51,26 @@ class PagedSource(DataSource):
         return "page bigint, value string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
-        return _PagedReader(self.options["path"])
+        return _PagedReader(self.options["path"], self.options.get("cutoff", ""))
 
 
 class _PagedReader(DataSourceStreamReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, cutoff: str = "") -> None:
+        self.path, self.cutoff = path, cutoff
+        self.known = 0
 
-    def _pages(self) -> int:
-        import os
+    def _lines(self, page: int) -> Iterator[str]:
+        """Rows of a page that the cutoff leaves."""
+        with open(f"{self.path}/{page}.json", encoding="utf-8") as f:
+            for line in map(str.strip, f):
+                if line and (not self.cutoff or str(json.loads(line).get("time") or self.cutoff) >= self.cutoff):
+                    yield line
 
-        return sum(bool(re.fullmatch(r"\d+\.json", f)) for f in os.listdir(self.path))
+    def _pages(self) -> int:
+        """Pages up to the first that is missing or wholly before the cutoff; pages once seen aren't asked for again."""
+        while os.path.exists(f"{self.path}/{self.known}.json") and (not self.cutoff or next(self._lines(self.known), None) is not None):
+            self.known += 1
+        return self.known
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"page": 0}
@@ -68,7 +82,5 @@ class _PagedReader(DataSourceStreamReader):
         return [InputPartition(p) for p in range(start["page"], end["page"])]
 
     def read(self, partition: InputPartition):  # noqa: ANN201
-        with open(f"{self.path}/{partition.value}.json", encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    yield partition.value, line.rstrip("\n")
+        for line in self._lines(partition.value):
+            yield partition.value, line
