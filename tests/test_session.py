@@ -47,6 +47,16 @@ def test_cut_needs_a_shared_folder(spark):
         session.cut(Frame())
 
 
+def test_spread(spark, tmp_path):
+    """A small scan gets a partition a core, whatever its folder is called; one of many files is left alone."""
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one file 1%"))
+    d = session.spread(spark.read.parquet(str(tmp_path / "one file 1%")), "id")
+    assert d.count() == 100 and d.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert session.spread(many, "id") is many
+
+
 def test_positions(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(50), i) for i in range(500)]

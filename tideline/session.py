@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = scan.inputFiles()
+    files = [unquote(f) for f in scan.inputFiles()]
     if len(files) >= cores or not files:
         return scan
     size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
