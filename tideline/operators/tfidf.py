@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.text import ngrams
 
+#: Texts of a key that are put into one row.
+MANY = 1000
+
 
 def grams(text: Column, low: int = 2, high: int = 4) -> Column:
     """All n-grams of low..high characters."""
@@ -14,8 +17,20 @@ def grams(text: Column, low: int = 2, high: int = 4) -> Column:
 
 
 def terms(df: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
-    """(key, term, tf) of all n-grams of low..high characters."""
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(grams(F.col(text), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of all n-grams of low..high characters.
+
+    Texts are shuffled, not their many times larger n-grams: all texts of a key
+    come to one row, whose sorted n-grams stand in runs of equal ones. Only keys
+    of more than MANY texts are counted by a hash of (key, term), which can spill.
+    """
+    d = df.where(F.col(text).isNotNull()).select(key, F.col(text).alias("__t"), F.count("*").over(Window.partitionBy(key)).alias("__n"))
+    many = d.where(F.col("__n") > MANY).select(key, F.explode(grams(F.col("__t"), low, high)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    d = d.where(F.col("__n") <= MANY).groupBy(key).agg(F.collect_list("__t").alias("__t"))
+    d = d.select(key, F.sort_array(F.flatten(F.transform("__t", lambda t: grams(t, low, high)))).alias("__g"))
+    first = lambda x, i: F.when((i == 0) | (x != F.get("__g", i - 1)), i)
+    d = d.select(key, "__g", F.filter(F.transform("__g", first), lambda i: i.isNotNull()).alias("__at"))
+    run = lambda at, j: F.struct(F.get("__g", at).alias("term"), (F.coalesce(F.get("__at", j + 1), F.size("__g")) - at).cast("bigint").alias("tf"))
+    return d.select(key, F.inline(F.transform("__at", run))).unionAll(many)
 
 
 def fit(train: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_df: int = 3, max_features: int = 200_000) -> DataFrame:
@@ -28,14 +43,19 @@ def fit(train: DataFrame, key: str, text: str, low: int = 2, high: int = 4, min_
 
 
 def transform(df: DataFrame, model: DataFrame, key: str, text: str, low: int = 2, high: int = 4, sublinear: bool = False, norm: str | None = "l2") -> DataFrame:
-    """(key, term, weight); rows without a known term are absent."""
+    """(key, term, weight); rows without a known term are absent.
+
+    The join is hinted, so that the model, of up to ``max_features`` terms, is
+    never gathered in the driver for a broadcast; nor are the norms, which are
+    made where a key's weights are gathered.
+    """
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
-    w = terms(df, key, text, low, high).join(model.select("term", "idf"), "term").select(key, "term", (tf * F.col("idf")).alias("weight"))
+    w = terms(df, key, text, low, high).join(model.select("term", "idf").hint("merge"), "term").select(key, "term", (tf * F.col("idf")).alias("weight"))
     if norm is None:
         return w
     size = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if norm == "l2" else F.sum(F.abs("weight"))
-    n = w.groupBy(key).agg(size.alias("size"))
-    return w.join(n, key).select(key, "term", (F.col("weight") / F.col("size")).alias("weight"))
+    w = w.groupBy(key).agg(F.collect_list(F.struct("term", "weight")).alias("__w"), size.alias("__size"))
+    return w.select(key, "__size", F.inline("__w")).select(key, "term", (F.col("weight") / F.col("__size")).alias("weight"))
 
 
 def linear_classifier(train: DataFrame, text: str, label: str, features: int = 1 << 18, low: int = 2, high: int = 4, reg: float = 1e-3, rounds: int = 20):
